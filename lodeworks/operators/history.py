@@ -112,18 +112,29 @@ def clean_path(path: Column) -> Column:
 
 
 def version_states(versions: DataFrame) -> DataFrame:
-    """(file, timestamp, id, seq, hash) of the version rows that stand.
+    """(file, timestamp, id, seq, hash) of the version rows that stand, the hash packed.
 
     Every id counts once (of rows that share an id the lowest seq), and of rows of a file with one timestamp the
     highest seq stands. Hashes are lower case; an empty or null one is the SHA-256 of the content; where the
     content is null too the hash stays null. Rows without id are left out. Extra columns are ignored.
     """
-    hashed = F.lower(F.when(F.coalesce(F.trim("hash"), F.lit("")) != "", F.trim("hash")).otherwise(F.sha2(F.col("content").cast("binary"), 256)))
-    rows = versions.filter(F.col("id").isNotNull()).select("id", "seq", clean_path(F.col("file_path")).alias("file"), "timestamp", hashed.alias("hash"))
-    whole = F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "timestamp", "file", "hash")
-    once = rows.groupBy("id").agg(F.min_by(F.struct("seq", "file", "timestamp", "hash"), whole).alias("r")).select("id", "r.*")
-    last = once.groupBy("file", "timestamp").agg(F.max_by(F.struct("id", "seq", "hash"), F.struct(F.coalesce("seq", F.lit(-1)), "id")).alias("r"))
-    return last.select("file", "timestamp", "r.*")
+    text = F.trim("hash")
+    rows = versions.filter(F.col("id").isNotNull()).select(
+        "id", "seq", clean_path(F.col("file_path")).alias("file"), "timestamp",
+        F.when(F.coalesce(text, F.lit("")) != "", pack_hash(F.lower(text))).otherwise(F.unhex(F.sha2(F.col("content").cast("binary"), 256))).alias("hash"),
+    )
+    once = rows.groupBy("id").agg(F.min(F.struct("seq", "timestamp", "file", "hash")).alias("r")).select("id", "r.*")
+    return once.groupBy("file", "timestamp").agg(F.max(F.struct("seq", "id", "hash")).alias("r")).select("file", "timestamp", "r.*")
+
+
+def pack_hash(text: Column) -> Column:
+    """A 64-digit hex hash as its 32 bytes, half of what a shuffle would carry; other text padded beyond that length."""
+    return F.when(text.rlike("^[0-9a-f]{64}$"), F.unhex(text)).otherwise(F.concat(F.unhex(F.lit("00" * 33)), text.cast("binary")))
+
+
+def hash_text(packed: Column) -> Column:
+    """The text that ``pack_hash`` took."""
+    return F.when(F.length(packed) == 32, F.lower(F.hex(packed))).otherwise(F.decode(F.substring(packed, 34, 1 << 30), "UTF-8"))
 
 
 def version_changes(versions: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -133,4 +144,4 @@ def version_changes(versions: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def version_history(versions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per state of a file with valid_from and valid_to."""
-    return validity(version_changes(versions, chunk), ["file"], "timestamp", ["seq"], chunk).drop("timestamp")
+    return validity(version_changes(versions, chunk), ["file"], "timestamp", ["seq"], chunk).drop("timestamp").withColumn("hash", hash_text(F.col("hash")))
