@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeworks import history_queries
+from lodeworks import history_queries, store_queries
 
-_MODULES = (history_queries,)
+_MODULES = (history_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
