@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeworks import history_queries, store_queries
+from lodeworks import graph_queries, history_queries, retrieval_queries, store_queries, text_queries
 
-_MODULES = (history_queries, store_queries)
+_MODULES = (history_queries, store_queries, text_queries, retrieval_queries, graph_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
