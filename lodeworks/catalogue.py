@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeworks import graph_queries, history_queries, retrieval_queries, store_queries, text_queries
+from lodeworks import code_queries, graph_queries, history_queries, retrieval_queries, store_queries, text_queries
 
-_MODULES = (history_queries, store_queries, text_queries, retrieval_queries, graph_queries)
+_MODULES = (history_queries, store_queries, text_queries, retrieval_queries, graph_queries, code_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeworks.operators import graph as G
+from lodeworks.plans.lineage import cut
 from lodeworks.tables import load
 
 QUERIES: dict = {}
@@ -26,6 +28,7 @@ def query(sql: str | None = None):
 #: Calls between named functions; the name after the last dot stands for a method.
 EDGES = r"""edges AS (SELECT DISTINCT regexp_replace(name, '^.*\.', '') AS src, regexp_replace(c, '^.*\.', '') AS dst FROM (SELECT name, unnest(call_targets) AS c FROM extracted_units)
   WHERE regexp_replace(name, '^.*\.', '') IN (SELECT regexp_replace(name, '^.*\.', '') FROM extracted_units) AND regexp_replace(c, '^.*\.', '') IN (SELECT regexp_replace(name, '^.*\.', '') FROM extracted_units))"""
+_STARTED = "starts AS (SELECT dst AS start FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 3)"
 _START = "starts AS (SELECT src AS start FROM edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 3)"
 
 
@@ -40,12 +43,12 @@ def call_edges(spark, sf_dir):
     return e.join(names, F.col("dst") == F.col("n"), "left_semi")
 
 
-def _starts(edges):
-    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "src").limit(3).select(F.col("src").alias("start"))
+def _starts(edges, end="src"):
+    return edges.groupBy(F.col(end).alias("src")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "src").limit(3).select(F.col("src").alias("start"))
 
 
 _DOWN = f"WITH RECURSIVE {EDGES}, {_START}, r(start, node) AS (SELECT start, dst FROM starts JOIN edges ON src = start UNION SELECT r.start, e.dst FROM r JOIN edges e ON e.src = r.node)"
-_UP = f"WITH RECURSIVE {EDGES}, {_START}, r(start, node) AS (SELECT start, src FROM starts JOIN edges ON dst = start UNION SELECT r.start, e.src FROM r JOIN edges e ON e.dst = r.node)"
+_UP = f"WITH RECURSIVE {EDGES}, {_STARTED}, r(start, node) AS (SELECT start, src FROM starts JOIN edges ON dst = start UNION SELECT r.start, e.src FROM r JOIN edges e ON e.dst = r.node)"
 
 
 @query(f"WITH {EDGES}, n AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming FROM n GROUP BY node")
@@ -75,12 +78,19 @@ def graph_closure_down(spark, sf_dir):
 @query(_UP + " SELECT start, node FROM r")
 def graph_closure_up(spark, sf_dir):
     e = call_edges(spark, sf_dir)
-    return G.closure(G.reversed_edges(e), _starts(e)).select("start", "node")
+    return G.closure(G.reversed_edges(e), _starts(e, "dst")).select("start", "node")
 
 
-@query(f"WITH RECURSIVE {EDGES}, r(start, node) AS (SELECT src, dst FROM edges UNION SELECT r.start, e.dst FROM r JOIN edges e ON e.src = r.node) SELECT DISTINCT node FROM r WHERE start = node")
+_STEPS = """steps AS (SELECT event_type || '@' || (user_id // 30) AS src, lead(event_type || '@' || (user_id // 30)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+  walks AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL UNION SELECT src, dst FROM edges)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_STEPS}, r(start, node) AS (SELECT src, dst FROM walks UNION SELECT r.start, e.dst FROM r JOIN walks e ON e.src = r.node) SELECT DISTINCT node FROM r WHERE start = node")
 def graph_cycle_nodes(spark, sf_dir):
-    return G.on_cycles(call_edges(spark, sf_dir))
+    """Nodes on cycles of the call graph together with the steps that users take between events."""
+    name = F.concat(F.col("event_type"), F.lit("@"), F.floor(F.col("user_id") / 30).cast("string"))
+    steps = load(spark, sf_dir, "events").select(name.alias("src"), F.lead(name).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst")).filter("dst IS NOT NULL").distinct()
+    return G.on_cycles(steps.unionByName(call_edges(spark, sf_dir)))
 
 
 @query(f"WITH {EDGES}, {_START}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), a AS (SELECT start, dst AS node FROM starts JOIN both_ways ON src = start), b AS (SELECT start, e.dst AS node FROM a JOIN both_ways e ON e.src = a.node), u AS (SELECT start, start AS node, 0 AS depth FROM starts UNION ALL SELECT start, node, 1 FROM a UNION ALL SELECT start, node, 2 FROM b) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM u GROUP BY start, node")
@@ -93,7 +103,7 @@ def graph_neighbourhood(spark, sf_dir):
 def graph_impact(spark, sf_dir):
     """What depends on each start, directly or through others."""
     e = call_edges(spark, sf_dir)
-    return G.closure(G.reversed_edges(e), _starts(e)).select("start", "node", (F.col("depth") == 1).alias("direct"))
+    return G.closure(G.reversed_edges(e), _starts(e, "dst")).select("start", "node", (F.col("depth") == 1).alias("direct"))
 
 
 @query(f"WITH {EDGES}, n AS (SELECT count(DISTINCT src) AS n FROM edges), d AS (SELECT node, count(*) AS c FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT node, round(CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.0, 1 - c / (n - 1)) END, 6) AS score FROM d, n")
@@ -110,13 +120,15 @@ def change_impact(spark, sf_dir):
     return G.change_impact(e, _starts(e))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {_START}, goal AS (SELECT max(dst) AS g FROM edges), r(start, node, depth) AS (SELECT start, start, 0 FROM starts UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 8)
-SELECT start, CAST(min(depth) AS INTEGER) AS length FROM r, goal WHERE node = g AND depth > 0 GROUP BY start HAVING min(depth) = (SELECT min(depth) FROM r, goal WHERE node = g AND depth > 0)""")
+@query(f"""WITH RECURSIVE {EDGES}, {_START}, r(start, node, depth) AS (SELECT start, start, 0 FROM starts UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 8),
+goal AS (SELECT max(node) AS g FROM r WHERE depth > 0), l AS (SELECT start, min(depth) AS depth FROM r, goal WHERE node = g AND depth > 0 GROUP BY start)
+SELECT start, CAST(depth AS INTEGER) AS length FROM l WHERE depth = (SELECT min(depth) FROM l)""")
 def shortest_call_paths(spark, sf_dir):
-    """The starts nearest to the last function by name, with the length of the way."""
-    e = call_edges(spark, sf_dir)
-    goal = e.agg(F.max("dst").alias("g")).first()["g"]
-    return G.shortest_paths(e, _starts(e), goal, 8).select("start", "length")
+    """The starts nearest to the last function by name that they reach, with the length of the way."""
+    e = cut(call_edges(spark, sf_dir))
+    starts = cut(_starts(e))
+    goal = G.closure(e, starts, 8).agg(F.max("node").alias("g")).first()["g"]
+    return G.shortest_paths(e, starts, goal or "", 8).select("start", "length")
 
 
 @query(f"""WITH {EDGES}, g AS (SELECT DISTINCT src AS node FROM edges WHERE src LIKE 'load%'), k AS (SELECT * FROM edges WHERE src NOT IN (SELECT node FROM g) AND dst NOT IN (SELECT node FROM g)) SELECT src, dst FROM k UNION SELECT node, 'started' FROM g""")
