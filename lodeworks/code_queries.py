@@ -98,11 +98,12 @@ def pattern_mining(spark, sf_dir):
 _TYPES = "types AS (SELECT DISTINCT t.name AS type FROM (SELECT unnest(defined_types) AS t FROM extracted_modules) WHERE t.name IS NOT NULL)"
 
 
-@query(rf"""WITH {UNITS}, types AS (SELECT t.name AS type FROM (SELECT unnest(defined_types) AS t FROM extracted_modules) WHERE t.name IS NOT NULL UNION SELECT t.name FROM (SELECT unnest(imports) AS t FROM extracted_modules) WHERE t.is_type AND t.name IS NOT NULL), s AS (SELECT file_path, start_line, class, tags, type_dependencies AS d, regexp_extract_all(coalesce(input_signature, ''), '([A-Za-z_]\w*)', 1) AS i, regexp_extract_all(coalesce(output_signature, ''), '([A-Za-z_]\w*)', 1) AS o FROM u),
+@query(rf"""WITH {UNITS}, types AS (SELECT t.name AS type FROM (SELECT unnest(defined_types) AS t FROM extracted_modules) WHERE t.name IS NOT NULL UNION SELECT t.name FROM (SELECT unnest(imports) AS t FROM extracted_modules) WHERE t.is_type AND t.name IS NOT NULL UNION SELECT unnest(type_dependencies) FROM u), s AS (SELECT file_path, start_line, class, tags, type_dependencies AS d, regexp_extract_all(coalesce(input_signature, ''), '([A-Za-z_]\w*)', 1) AS i, regexp_extract_all(coalesce(output_signature, ''), '([A-Za-z_]\w*)', 1) AS o FROM u),
 e AS (SELECT *, unnest(list_distinct(list_concat(i, o, d))) AS name FROM s), h AS (SELECT e.*, t.type, list_contains(i, type) AS hi, list_contains(o, type) AS ho FROM e JOIN types t ON e.name = t.type)
 SELECT type, file_path, start_line, CASE WHEN ho AND NOT hi THEN 'produces' WHEN hi AND ho AND class = 'transformer' THEN 'transforms' WHEN hi AND class = 'validation' THEN 'validates' WHEN ho AND list_contains(tags, 'network-io') THEN 'serializes' WHEN hi AND NOT ho THEN 'consumes' WHEN ho THEN 'produces' ELSE 'consumes' END AS operation FROM h""")
 def type_flows(spark, sf_dir):
-    return C.type_flows(_units(spark, sf_dir), _modules(spark, sf_dir))
+    u = _units(spark, sf_dir)
+    return C.type_flows(u, C.known_types(u, _modules(spark, sf_dir)))
 
 
 @query(rf"""WITH {UNITS}, f AS (SELECT short, min(file_path) AS to_file FROM u GROUP BY short), g AS (SELECT u.short, to_file, min(start_line) AS to_line FROM u JOIN f ON u.short = f.short AND u.file_path = f.to_file GROUP BY u.short, to_file),

@@ -101,18 +101,22 @@ def mined_patterns(u: DataFrame) -> DataFrame:
     return out.select("category", "instances", "original_tokens", "compressed_tokens", F.greatest(F.lit(0).cast("long"), F.col("original_tokens") - F.col("compressed_tokens")).alias("savings"), "id")
 
 
-def type_flows(u: DataFrame, modules: DataFrame) -> DataFrame:
-    """(type, file_path, start_line, operation): what each unit does with each defined or imported type it names.
+def known_types(u: DataFrame, modules: DataFrame) -> DataFrame:
+    """(type): the types that modules define or import and those that units depend on, each once."""
+    own = modules.select(F.explode("defined_types").alias("t")).select(F.col("t.name").alias("type"))
+    taken = modules.select(F.explode("imports").alias("t")).filter("t.is_type").select(F.col("t.name").alias("type"))
+    return own.unionByName(taken).unionByName(u.select(F.explode("type_dependencies").alias("type"))).filter("type IS NOT NULL").distinct()
+
+
+def type_flows(u: DataFrame, types: DataFrame) -> DataFrame:
+    """(type, file_path, start_line, operation): what each unit does with each of ``types`` it names.
 
     A type is found as a whole identifier in the signatures or the dependencies, by an equi-join on the identifier.
     """
-    own = modules.select(F.explode("defined_types").alias("t")).select(F.col("t.name").alias("type"))
-    taken = modules.select(F.explode("imports").alias("t")).filter("t.is_type").select(F.col("t.name").alias("type"))
-    defined = own.unionByName(taken).filter("type IS NOT NULL").distinct()
     names = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
     base = u.select("file_path", "start_line", "class", "tags", names("input_signature").alias("i"), names("output_signature").alias("o"), "type_dependencies")
     each = base.withColumn("name", F.explode(F.array_distinct(F.concat("i", "o", "type_dependencies"))))
-    hit = each.join(defined, F.col("name") == F.col("type"))
+    hit = each.join(types, F.col("name") == F.col("type"))
     i, o = F.array_contains("i", F.col("type")), F.array_contains("o", F.col("type"))
     op = T.first_label([
         (o & ~i, "produces"),
