@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.operators import retrieval as R
-from lodeworks.tables import load
+from lodeworks.tables import load, spread
 from lodeworks.text_queries import _HASH, _STOP, BUCKETS, TERMS
 
 QUERIES: dict = {}
@@ -47,7 +47,7 @@ lex AS (SELECT q, doc_id, least(1.0, cos + 0.2 * coalesce(g, 0) / greatest(gs, 1
 
 
 def _lexical(spark, sf_dir):
-    terms = T.index_terms(load(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = T.index_terms(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return R.lexical(terms, T.index_terms(_asked(spark), "q", "text"), "doc_id", "q")
 
 
@@ -93,7 +93,7 @@ def hybrid_search(spark, sf_dir):
 
 @query(f"WITH {TERMS}, t AS (SELECT doc_id, count(*) FILTER (kind = 'word') AS c FROM terms GROUP BY doc_id) SELECT (SELECT count(*) FROM documents) AS total, count(*) FILTER (c > 0) AS indexed, (SELECT count(DISTINCT term) FROM terms WHERE kind = 'word') AS unique_terms, round(avg(c), 6) AS mean_terms FROM t")
 def index_stats(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     words = T.index_terms(d, "doc_id", "text").filter("kind = 'word'")
     per = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("indexed"), F.round(F.avg("c"), 6).alias("mean_terms")).withColumn("k", F.lit(1))
     terms = words.agg(F.count_distinct("term").alias("unique_terms")).withColumn("k", F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
-from lodeworks.tables import load
+from lodeworks.tables import load, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,19 +43,19 @@ def token_counts(spark, sf_dir):
 
 @query(f"WITH {TERMS} SELECT term, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS docs FROM terms WHERE kind = 'word' GROUP BY term")
 def term_frequencies(spark, sf_dir):
-    t = T.index_terms(load(spark, sf_dir, "documents"), "doc_id", "text").filter("kind = 'word'")
+    t = T.index_terms(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").filter("kind = 'word'")
     return t.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"WITH {TERMS} SELECT doc_id, count(*) AS ngrams_n, CAST(sum(n) AS BIGINT) AS total FROM terms WHERE kind = 'ngram' GROUP BY doc_id")
 def ngram_counts(spark, sf_dir):
-    t = T.index_terms(load(spark, sf_dir, "documents"), "doc_id", "text").filter("kind = 'ngram'")
+    t = T.index_terms(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").filter("kind = 'ngram'")
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("ngrams_n"), F.sum("n").alias("total"))
 
 
 @query(f"WITH {BUCKETS} SELECT doc_id, bucket, round(weight, 6) AS weight FROM vectors")
 def hashed_vectors(spark, sf_dir):
-    terms = T.index_terms(load(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = T.index_terms(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return T.hashed_vectors(terms, "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
@@ -82,12 +82,12 @@ SELECT doc_id, line_no, name, severity, CAST(len(regexp_extract_all(line, p)) AS
 
 @query(_personal_sql(T.PERSONAL))
 def personal_data_lines(spark, sf_dir):
-    return T.personal_data(load(spark, sf_dir, "documents"), "doc_id", "text", "low")
+    return T.personal_data(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", "low")
 
 
 @query("SELECT severity, CAST(sum(n) AS BIGINT) AS found FROM (" + _personal_sql([p for p in T.PERSONAL if p[2] != "low"]) + ") GROUP BY severity")
 def personal_data_medium(spark, sf_dir):
-    return T.personal_data(load(spark, sf_dir, "documents"), "doc_id", "text", "medium").groupBy("severity").agg(F.sum("n").alias("found"))
+    return T.personal_data(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", "medium").groupBy("severity").agg(F.sum("n").alias("found"))
 
 
 def _secret_sql() -> str:
