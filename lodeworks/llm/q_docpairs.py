@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import docpairs as D
-from lodeworks.tables import load
+from lodeworks.tables import load, spread
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.pairs(load(spark, sf_dir, "extracted_units"), load(spark, sf_dir, "file_contents"))
+    return D.pairs(load(spark, sf_dir, "extracted_units"), spread(load(spark, sf_dir, "file_contents")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import leakage as L
-from lodeworks.tables import load
+from lodeworks.tables import load, spread
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+    return L.leaks(spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import packing as P
-from lodeworks.tables import load
+from lodeworks.tables import load, spread
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pack_documents(load(spark, sf_dir, "documents"))
+    return P.pack_documents(spread(load(spark, sf_dir, "documents")))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

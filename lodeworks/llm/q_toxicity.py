@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import toxicity as X
-from lodeworks.tables import load
+from lodeworks.tables import load, spread
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return X.score(docs, X.learn(docs, load(spark, sf_dir, "doc_labels")))
 
 
