@@ -124,7 +124,7 @@ def token_bucket(spark, sf_dir):
 SELECT *, success_rate > 0.5 AND block_rate < 0.1 AS healthy, array_to_string(list_filter([CASE WHEN success_rate <= 0.5 THEN 'failures' END, CASE WHEN block_rate >= 0.1 THEN 'blocked' END, CASE WHEN hit_rate < 0.1 THEN 'cold cache' END], lambda x: x IS NOT NULL), ',') AS warnings FROM r""")
 def health_rollup(spark, sf_dir):
     n = F.count(F.lit(1))
-    e = load(spark, sf_dir, "events").agg(F.round(1 - F.count_if(F.col("event_type") == "error") / n, 6).alias("success_rate"), F.round(F.count_if(F.col("value") > 95) / n, 6).alias("block_rate"), F.round(F.count_if(F.col("event_type") == "view") / n, 6).alias("hit_rate"))
+    e = load(spark, sf_dir, "events").agg(F.round(1 - F.try_divide(F.count_if(F.col("event_type") == "error"), n), 6).alias("success_rate"), F.round(F.try_divide(F.count_if(F.col("value") > 95), n), 6).alias("block_rate"), F.round(F.try_divide(F.count_if(F.col("event_type") == "view"), n), 6).alias("hit_rate"))
     return O.health(e)
 
 

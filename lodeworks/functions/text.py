@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 #: Words left out of the index. Fixed values.
@@ -90,7 +91,7 @@ def index_terms(table: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "term", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def bucket(terms: pd.Series) -> pd.Series:
     """Column of a hashed term: the 32-bit polynomial hash of base 31, its absolute value modulo the width.
 

@@ -59,7 +59,7 @@ def graph_degrees(spark, sf_dir):
 @query(f"WITH {EDGES} SELECT count(*) AS edges_n, count(DISTINCT src) AS sources, round(count(*) / count(DISTINCT src), 6) AS mean_degree FROM edges")
 def graph_stats(spark, sf_dir):
     e = call_edges(spark, sf_dir)
-    return e.agg(F.count(F.lit(1)).alias("edges_n"), F.count_distinct("src").alias("sources")).withColumn("mean_degree", F.round(F.col("edges_n") / F.col("sources"), 6))
+    return e.agg(F.count(F.lit(1)).alias("edges_n"), F.count_distinct("src").alias("sources")).withColumn("mean_degree", F.round(F.try_divide("edges_n", "sources"), 6))
 
 
 @query(f"WITH {EDGES}, {_START} SELECT start, dst AS node, 'calls' AS kind FROM starts JOIN edges ON src = start UNION ALL SELECT start, src, 'called by' FROM starts JOIN edges ON dst = start")
