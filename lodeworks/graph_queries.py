@@ -56,7 +56,7 @@ def graph_degrees(spark, sf_dir):
     return G.degrees(call_edges(spark, sf_dir))
 
 
-@query(f"WITH {EDGES} SELECT count(*) AS edges_n, count(DISTINCT src) AS sources, round(count(*) / count(DISTINCT src), 6) AS mean_degree FROM edges")
+@query(f"WITH {EDGES} SELECT count(*) AS edges_n, count(DISTINCT src) AS sources, round(count(*) / nullif(count(DISTINCT src), 0), 6) AS mean_degree FROM edges")
 def graph_stats(spark, sf_dir):
     e = call_edges(spark, sf_dir)
     return e.agg(F.count(F.lit(1)).alias("edges_n"), F.count_distinct("src").alias("sources")).withColumn("mean_degree", F.round(F.try_divide("edges_n", "sources"), 6))
