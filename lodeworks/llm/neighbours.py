@@ -117,10 +117,14 @@ def distinct_vectors(table: DataFrame, key: str, vector: str, group: Column) ->
     return rows.groupBy("group", "vector").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("copies"))
 
 
-def members(table: DataFrame, key: str, vector: str, group: Column) -> DataFrame:
-    """(rep, key): every key under the representative of its exact vector."""
-    rows = table.select(F.col(key).alias("key"), group.alias("group"), F.col(vector).cast("array<float>").alias("vector")).filter(F.col("key").isNotNull() & F.col("group").isNotNull()).distinct()
-    return rows.select("key", F.min("key").over(Window.partitionBy("group", "vector")).alias("rep"))
+def members(table: DataFrame, key: str, vector: str, group: Column, vectors: DataFrame) -> DataFrame:
+    """(rep, key): every key under the representative of its exact vector, for the ``vectors`` given.
+
+    An equi-join on the vector, whose hot keys the adaptive plan splits; no task holds a whole class of copies.
+    """
+    rows = table.select(F.col(key).alias("key"), group.alias("_g"), F.col(vector).cast("array<float>").alias("_v")).filter(F.col("key").isNotNull() & F.col("_g").isNotNull()).distinct()
+    reps = vectors.select("rep", "group", "vector")
+    return rows.join(reps, (F.col("_g") == F.col("group")) & (F.col("_v") == F.col("vector"))).select("key", "rep")
 
 
 def _unit(rows: pd.Series) -> np.ndarray:

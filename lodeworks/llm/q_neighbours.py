@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodeworks.llm import neighbours as N
 from lodeworks.plans.lineage import cut
@@ -27,9 +26,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cut(N.distinct_vectors(rows, "path", "qwen3_vector", version))
     near = N.pairs_within(spark, vectors, 0.95).select(F.col("rep").alias("a"), F.col("other").alias("b"))
     # a class of copies pairs all its members while it is small, else each with its representative
-    copied = vectors.filter("copies > 1").select("rep", "copies")
-    owned = N.members(rows, "path", "qwen3_vector", version).join(copied.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left_semi")
-    inside = owned.join(copied.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).select("rep", "key", "copies")
+    copied = vectors.filter("copies > 1")
+    sizes = copied.select(F.col("rep").alias("_rep"), "copies")
+    inside = N.members(rows, "path", "qwen3_vector", version, copied).join(sizes, F.col("rep") == F.col("_rep")).select("rep", "key", "copies")
     x, y = inside.alias("x"), inside.select(F.col("rep").alias("r2"), F.col("key").alias("k2")).alias("y")
     small = x.filter("copies <= 11").join(y, (F.col("rep") == F.col("r2")) & (F.col("key") < F.col("k2"))).select(F.col("key").alias("p"), F.col("k2").alias("q"))
     star = inside.filter("copies > 11 AND key != rep").select(F.col("rep").alias("p"), F.col("key").alias("q"))
@@ -60,8 +59,8 @@ def p2_nearest_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership of exact copies: every path with the representative of its vector."""
     rows = _dense(spark, sf_dir)
-    m = N.members(rows, "path", "qwen3_vector", F.col("qwen3_version"))
-    return m.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rep"))).filter("n > 1").drop("n")
+    vectors = N.distinct_vectors(rows, "path", "qwen3_vector", F.col("qwen3_version"))
+    return N.members(rows, "path", "qwen3_vector", F.col("qwen3_version"), vectors.filter("copies > 1"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_nearest_dense": p2_nearest_dense, "p2_nearest_lexical": p2_nearest_lexical, "p2_copies": p2_copies}

@@ -62,7 +62,7 @@ def test_unsound_repeated_and_empty(spark):
     got, v = pairs(spark, rows)
     assert got == {("a", "b"), ("b", "a")}
     assert {(r.rep, r.copies) for r in v.collect()} == {("a", 2), ("b", 1), ("c", 1)}
-    m = N.members(spark.createDataFrame(rows, SCHEMA).filter(N.sound(F.col("vec"), 16)), "path", "vec", F.col("ver"))
+    m = N.members(spark.createDataFrame(rows, SCHEMA).filter(N.sound(F.col("vec"), 16)), "path", "vec", F.col("ver"), v)
     assert {(r.key, r.rep) for r in m.collect()} == {("a", "a"), ("i", "a"), ("b", "b"), ("c", "c")}
     assert pairs(spark, rows[:0])[0] == set()
 
