@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeworks.functions import text as T
+from lodeworks.operators.history import numbered
 
 RRF = 60
 
@@ -17,11 +18,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product).otherwise(F.lit(0.0))
 
 
-def rank(scored: DataFrame, by: str, tie: str, name: str, within: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """1-based ranks by ``by`` descending, ties by ``tie``; ``most`` cuts each ranking, before the shuffle where it can."""
-    w = Window.partitionBy(*(within or [])).orderBy(F.desc(by), tie)
-    out = scored.withColumn(name, F.row_number().over(w))
-    return out.filter(F.col(name) <= most) if most else out
+def rank(scored: DataFrame, by: str, tie: str, name: str, within: list[str], most: int | None = None) -> DataFrame:
+    """1-based ranks per ``within`` by ``by`` descending, ties by ``tie``.
+
+    ``most`` cuts each ranking, before the shuffle where it can. Without it a ranking may be as long as the corpus
+    and is numbered in pieces.
+    """
+    if most is None:
+        return numbered(scored.withColumn("_by", -F.col(by)), within, "_by", [tie], name).drop("_by")
+    w = Window.partitionBy(*within).orderBy(F.desc(by), tie)
+    return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= most)
 
 
 def lexical(terms: DataFrame, queries: DataFrame, key: str, qkey: str) -> DataFrame:

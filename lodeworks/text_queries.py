@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
+from lodeworks.operators.history import numbered
 from lodeworks.tables import load, spread
 
 QUERIES: dict = {}
@@ -225,10 +226,10 @@ d AS (SELECT id, a, b, x, y, list_filter(range(1, greatest(len(x), len(y)) + 1),
 SELECT id, octet_length(encode(b)) - octet_length(encode(a)) AS byte_delta, c[1] AS first_changed, c[-1] AS last_changed, len(y) - len(x) AS line_delta FROM d""")
 def edit_diffs(spark, sf_dir):
     """What each version changed against the version of its file before it that has content."""
-    from pyspark.sql.window import Window
-
     v = load(spark, sf_dir, "versions").filter("content IS NOT NULL").select("id", "seq", "file_path", "timestamp", "content").distinct()
-    p = v.select("id", F.col("content").alias("b"), F.lag("content").over(Window.partitionBy("file_path").orderBy("timestamp", "seq", "id")).alias("a")).filter("a IS NOT NULL AND a <> b")
+    n = numbered(v, ["file_path"], "timestamp", ["seq", "id"])
+    was = n.select(F.col("file_path").alias("_f"), (F.col("n") + 1).alias("_n"), F.col("content").alias("a"))
+    p = n.join(was, F.col("file_path").eqNullSafe(F.col("_f")) & (F.col("n") == F.col("_n"))).select("id", F.col("content").alias("b"), "a").filter("a <> b")
     s = p.select("id", "a", "b", F.split("a", "\n").alias("x"), F.split("b", "\n").alias("y"))
     changed = F.filter(F.sequence(F.lit(0), F.greatest(F.size("x"), F.size("y")) - 1), lambda i: ~F.get("x", i).eqNullSafe(F.get("y", i)))
     d = s.withColumn("c", changed)
