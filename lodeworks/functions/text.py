@@ -14,16 +14,14 @@ from pyspark.sql.window import Window
 
 #: Words left out of the index. Fixed values.
 STOP_WORDS = tuple(
-    sorted(
-        set(
-            """the a an and or but in on at to for of with by from is it this that are was were be been being have has had do does
+    dict.fromkeys(
+        """the a an and or but in on at to for of with by from is it this that are was were be been being have has had do does
             did will would could should may might can not no nor so if then than too very just about also into over after before
             between through during without within along each every both few more most other some such only own same its our your
             their his her what which who whom when where why how all any get got let make much new now old see way well back even
             because these those there here come made find long look many know take people time hand high keep last give great
             found still under never small right think help line first need while next sure big going start said put end another
             above two""".split()
-        )
     )
 )
 
