@@ -15,7 +15,7 @@ from lodeworks.functions import lexing
 LONGEST = 500_000
 _STARTS = {
     "py": re.compile(r"^(?P<indent>[ \t]*)(?P<async>async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*\(", re.M),
-    "js": re.compile(r"^(?P<indent>[ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:(?P<async>async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>\w+)[ \t]*(?:<[^>\n]*>)?\(|(?:const|let|var)[ \t]+(?P<arrow>\w+)[ \t]*=[ \t]*(?P<async2>async[ \t]*)?\((?=[^;\n]*=>)|(?P<async3>async[ \t]+)?(?P<method>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|constructor\b)\w+)[ \t]*\((?=[^;\n]*\)[^;\n=]*\{[ \t]*$))", re.M),
+    "js": re.compile(r"^(?P<indent>[ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:(?P<async>async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>\w+)[ \t]*(?:<[^>\n]*>)?\(|(?:const|let|var)[ \t]+(?P<arrow>\w+)[ \t]*=[ \t]*(?P<async2>async[ \t]*)?\((?=[^;\n]*=>)|(?P<async3>async[ \t]+)?(?P<method>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|constructor\b)\w+)[ \t]*\((?=[^;\n]*\)[^;\n=]*\{[ \t\r]*$))", re.M),
     "java": re.compile(r"^(?P<indent>[ \t]*)(?:(?:public|private|protected|static|final|abstract|synchronized)[ \t]+)+(?:<[^>\n]+>[ \t]*)?[\w.<>\[\], ?]+[ \t]+(?P<name>\w+)[ \t]*\(", re.M),
     "go": re.compile(r"^(?P<indent>)func[ \t]+(?:\([^)\n]*\)[ \t]*)?(?P<name>\w+)[ \t]*(?:\[[^\]\n]*\])?\(", re.M),
 }
