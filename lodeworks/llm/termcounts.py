@@ -65,10 +65,10 @@ def marked(state: DataFrame, common_above: float = 0.1) -> DataFrame:
     """The state's terms with ``mark``: ``rare`` (one record), ``common`` (above that share of all records) or null.
 
     With ten records or fewer a term of one record is not common unless it passes the share, and then both marks
-    hold: the term comes twice. The total is one row, joined as a scalar.
+    hold: the term comes twice. The total is a scalar subquery.
     """
-    total = state.filter(F.col("term").isNull()).agg(F.max("records").alias("all_records"))
-    named = state.filter(F.col("term").isNotNull()).join(F.broadcast(total))
+    total = state.filter(F.col("term").isNull()).agg(F.max("records").alias("all_records")).scalar()
+    named = state.filter(F.col("term").isNotNull()).withColumn("all_records", total)
     marks = F.array_compact(F.array(F.when(F.col("records") == 1, "rare"), F.when(F.col("records") > F.col("all_records") * common_above, "common")))
     return named.select("term", "occurrences", "records", "all_records", F.explode_outer(marks).alias("mark"))
 
