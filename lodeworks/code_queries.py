@@ -81,9 +81,20 @@ def unit_stats(spark, sf_dir):
     return _units(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("units_n"), F.round(F.avg("complexity"), 2).alias("mean_complexity"), F.round(flag(F.size("side_effects") == 0), 3).alias("pure_share"), F.round(flag(F.col("is_async")), 3).alias("async_share"), F.sum(F.floor(F.length(F.coalesce("signature", F.lit(""))) / 4 + 0.5)).cast("long").alias("tokens"))
 
 
-_MEMBER = r"""[CASE WHEN regexp_matches(short, '(?i)^(create|add|insert|new|save|get|find|list|fetch|read|search|update|edit|modify|patch|delete|remove|destroy)(\w+)$') THEN 'crud' END,
-CASE WHEN list_contains(tags, 'event-emitter') OR regexp_matches(short, '(?i)^(on|emit|subscribe|unsubscribe|listen)') THEN 'observer' END, CASE WHEN class = 'handler' OR coalesce(is_async, false) AND class NOT IN ('utility', 'query') THEN 'service' END,
-CASE WHEN class = 'utility' AND len(side_effects) = 0 THEN 'utility' END, CASE WHEN class = 'command' THEN 'command' END]"""
+_N = {k: f"regexp_matches(short, '{p}')" for k, p in C.CATEGORY_NAMES.items()}
+_MEMBER = "[" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in (
+    ("crud", _N["crud"]),
+    ("middleware", _N["middleware"] + " OR list_contains(tags, 'validation-chain') OR class = 'handler' AND contains(coalesce(input_signature, ''), 'next')"),
+    ("observer", _N["observer"] + " OR list_contains(tags, 'event-emitter')"),
+    ("factory", _N["factory"] + " AND class = 'command' AND NOT list_contains(side_effects, 'filesystem-write')"),
+    ("singleton", _N["singleton"]),
+    ("adapter", _N["adapter"] + " AND class = 'transformer'"),
+    ("strategy", _N["strategy"] + " AND class = 'handler'"),
+    ("repository", _N["repository"] + " AND len(list_filter(side_effects, lambda e: contains(e, 'disk-io') OR contains(e, 'network-io'))) > 0"),
+    ("service", "class = 'handler' OR coalesce(is_async, false) AND class NOT IN ('utility', 'query')"),
+    ("controller", "class = 'handler' AND list_contains(tags, 'network-io')"),
+    ("utility", "class = 'utility' AND len(side_effects) = 0"),
+)) + "]"
 _TEMPLATE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in C.TEMPLATES.items()) + "}"
 
 

@@ -28,10 +28,27 @@ NO_CALLS = "if for while switch catch return throw new typeof instanceof async a
 #: Mined pattern categories with their template texts. Fixed values.
 TEMPLATES = {
     "crud": "create, read, update, delete of an entity",
+    "middleware": "handle(request, next)",
     "observer": "on(event, handler), emit(event, data)",
+    "factory": "create(kind)",
+    "singleton": "getInstance()",
+    "adapter": "adapt(input)",
+    "strategy": "execute(context)",
+    "repository": "find(id), save(entity), delete(id)",
     "service": "method(params)",
+    "controller": "handle(request, response)",
     "utility": "fn(input)",
-    "command": "command(target)",
+}
+#: Name patterns of the categories. Fixed values.
+CATEGORY_NAMES = {
+    "crud": r"(?i)^(create|add|insert|new|save|get|find|list|fetch|read|search|update|edit|modify|patch|delete|remove|destroy)(\w+)$",
+    "middleware": "(?i)middleware",
+    "observer": "(?i)^(on|emit|subscribe|unsubscribe|listen)",
+    "factory": r"(?i)^(create|make|build|manufacture)(\w+)$",
+    "singleton": "(?i)^(getInstance|getShared|getDefault|createDefault)",
+    "adapter": "(?i)^(adapt|convert|transform|translate)",
+    "strategy": "(?i)^(execute|run|apply|perform|process)",
+    "repository": "(?i)^(find|get|list|search|save|delete|remove)",
 }
 
 
@@ -82,14 +99,22 @@ def mined_patterns(u: DataFrame) -> DataFrame:
 
     The id is the first twelve digits of the SHA-1 over the sorted instances; tokens are a quarter of the length.
     """
-    n = F.col("short")
-    member = F.array_compact(F.array(
-        F.when(n.rlike(r"(?i)^(create|add|insert|new|save|get|find|list|fetch|read|search|update|edit|modify|patch|delete|remove|destroy)(\w+)$"), "crud"),
-        F.when(F.array_contains("tags", "event-emitter") | n.rlike("(?i)^(on|emit|subscribe|unsubscribe|listen)"), "observer"),
-        F.when((F.col("class") == "handler") | F.coalesce("is_async", F.lit(False)) & ~F.col("class").isin("utility", "query"), "service"),
-        F.when((F.col("class") == "utility") & (F.size("side_effects") == 0), "utility"),
-        F.when(F.col("class") == "command", "command"),
-    ))
+    named = {k: F.col("short").rlike(p) for k, p in CATEGORY_NAMES.items()}
+    kind, has = F.col("class"), lambda t: F.array_contains("tags", t)
+    rules = [
+        (named["crud"], "crud"),
+        (named["middleware"] | has("validation-chain") | (kind == "handler") & F.contains(F.coalesce("input_signature", F.lit("")), F.lit("next")), "middleware"),
+        (named["observer"] | has("event-emitter"), "observer"),
+        (named["factory"] & (kind == "command") & ~F.array_contains("side_effects", "filesystem-write"), "factory"),
+        (named["singleton"], "singleton"),
+        (named["adapter"] & (kind == "transformer"), "adapter"),
+        (named["strategy"] & (kind == "handler"), "strategy"),
+        (named["repository"] & F.exists("side_effects", lambda e: F.contains(e, F.lit("disk-io")) | F.contains(e, F.lit("network-io"))), "repository"),
+        ((kind == "handler") | F.coalesce("is_async", F.lit(False)) & ~kind.isin("utility", "query"), "service"),
+        ((kind == "handler") & has("network-io"), "controller"),
+        ((kind == "utility") & (F.size("side_effects") == 0), "utility"),
+    ]
+    member = T.tagged(rules)
     lengths = [F.length(F.coalesce(c, F.lit(""))) for c in ("signature", "input_signature", "output_signature")]
     lengths += [F.length(F.array_join(a, ",")) for a in (F.col("side_effects"), F.slice("call_targets", 1, 5), F.col("type_dependencies"))]
     cost = F.floor(sum(lengths[1:], lengths[0]) / 4 + 0.5)
@@ -176,3 +201,30 @@ def search_exports(modules: DataFrame, name: str) -> DataFrame:
 def ordered_first(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return table.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def ask(kind: str, table: DataFrame, modules: DataFrame, paths: list[str] | None = None, classes: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """One entry to the code index: units, modules, exports, patterns, flows, calls, imports or graph, under common filters.
+
+    ``paths`` limits files, ``classes`` unit classes and ``most`` complexity; a bound of 0 counts as a bound.
+    """
+    u, m = classified(table), modules
+    if paths is not None:
+        u, m = u.filter(F.col("file_path").isin(paths)), m.filter(F.col("file_path").isin(paths))
+    if classes is not None:
+        u = u.filter(F.col("class").isin(classes))
+    if most is not None:
+        u = u.filter(F.col("complexity") <= most)
+    answers = {
+        "units": lambda: u,
+        "modules": lambda: m,
+        "exports": lambda: search_exports(m, ""),
+        "patterns": lambda: mined_patterns(u),
+        "flows": lambda: type_flows(u, known_types(u, m)),
+        "calls": lambda: resolved_calls(u),
+        "imports": lambda: resolved_imports(m),
+        "graph": lambda: knowledge_edges(u, m),
+    }
+    if kind not in answers:
+        raise ValueError(f"unknown kind {kind!r}; known: {', '.join(answers)}")
+    return answers[kind]()

@@ -190,11 +190,15 @@ MODULES = (
 )
 
 
-@query("WITH r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULES) + ") SELECT path, tag FROM file_contents, r WHERE regexp_matches(path, '\\.(js|ts)$') AND regexp_matches(content, p)")
+#: Shapes of modules by the name of their file. Fixed values.
+MODULE_NAMES = (("config|env|constant", "configuration"), ("util|helper|common", "utility"), ("service", "service"), ("controller", "controller"), ("model|entity|schema", "data-model"), ("middleware", "middleware"))
+
+
+@query("WITH f AS (SELECT path, content, lower(regexp_extract(path, '([^/]+)$', 1)) AS name FROM file_contents WHERE regexp_matches(path, '\\.(js|ts)$')), r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULES) + "), n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULE_NAMES) + ") SELECT path, tag FROM f, r WHERE regexp_matches(content, p) UNION SELECT path, tag FROM f, n WHERE content IS NOT NULL AND regexp_matches(name, p)")
 def module_shapes(spark, sf_dir):
-    c = F.col("content")
-    tags = T.tagged([(c.rlike(p), t) for p, t in MODULES])
-    return load(spark, sf_dir, "file_contents").filter(F.col("path").rlike(r"\.(js|ts)$") & c.isNotNull()).select("path", F.explode(tags).alias("tag"))
+    c, name = F.col("content"), F.lower(F.regexp_extract("path", "([^/]+)$", 1))
+    tags = T.tagged([(c.rlike(p), t) for p, t in MODULES] + [(name.rlike(p), t) for p, t in MODULE_NAMES])
+    return load(spark, sf_dir, "file_contents").filter(F.col("path").rlike(r"\.(js|ts)$") & c.isNotNull()).select("path", F.explode(F.array_distinct(tags)).alias("tag"))
 
 
 _EDITS = [("return", "yield"), ("limit", "{limit"), ("const", "`const`")]

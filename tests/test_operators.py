@@ -145,3 +145,17 @@ def test_file_sources(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in files.corpus(spark, str(tmp_path)).collect()} >= {"a.json"}
     out = str(tmp_path / "out")
     assert files.import_once(spark, spark.range(3), out) and not files.import_once(spark, spark.range(9), out)
+
+
+def test_ask_filters_and_refuses(spark):
+    unit = "file_path string, name string, kind string, start_line long, end_line long, complexity long, is_async boolean, is_exported boolean, signature string, input_signature string, output_signature string, call_targets array<string>, type_dependencies array<string>, side_effects array<string>, body string"
+    rows = [("/a", "getX", "function", 1, 2, 0, False, True, None, None, None, ["putY"], None, None, "x"), ("/b", "putY", "function", 1, 2, 9, None, True, "s", "A", "B", None, ["A"], [], None)]
+    u = spark.createDataFrame(rows + rows, unit)
+    m = spark.createDataFrame([("/a", "a", None, None, None, None)], "file_path string, module_name string, exports array<struct<name string, kind string>>, imports array<struct<name string, from_module string, is_type boolean>>, defined_types array<struct<name string>>, error_message string")
+    assert [r.name for r in C.ask("units", u, m, most=0).collect()] == ["getX"]
+    assert [r.name for r in C.ask("units", u, m, paths=["/b"], classes=["command"]).collect()] == ["putY"]
+    assert [(r.target, r.to_file) for r in C.ask("calls", u, m).collect()] == [("putY", "/b")]
+    assert {(r.type, r.operation) for r in C.ask("flows", u, m).collect()} == {("A", "consumes")}
+    assert C.ask("imports", u, m).count() == 0 and C.ask("patterns", u.limit(0), m).count() == 0
+    with pytest.raises(ValueError):
+        C.ask("else", u, m)
