@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,30 +22,22 @@ def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
     was seen is kept as one table per round, so that no round rewrites it.
     """
     e = cut(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    front = starts.select(F.col("start"), F.col("start").alias("node"))
-    found: list[DataFrame] = []
-    depth = 0
-    while most is None or depth < most:
-        depth += 1
+    front = starts.select("start", F.col("start").alias("node"))
+    rounds: list[DataFrame] = []
+    seen: DataFrame | None = None
+    while most is None or len(rounds) < most:
         step = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        for seen in found:
+        if seen is not None:
             s = seen.select(F.col("start").alias("_s"), F.col("node").alias("_n"))
             step = step.join(s, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti")
         front = cut(step)
         if front.isEmpty():
             break
-        found.append(front.withColumn("depth", F.lit(depth)))
-        if len(found) > 8:
-            merged = found[0]
-            for x in found[1:]:
-                merged = merged.unionByName(x)
-            found = [cut(merged)]
-    if not found:
+        rounds.append(front.withColumn("depth", F.lit(len(rounds) + 1)))
+        seen = front if seen is None else seen.unionByName(front)
+    if not rounds:
         return starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).limit(0)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
