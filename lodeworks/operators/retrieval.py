@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from lodeworks.functions import text as T
 from lodeworks.operators.history import numbered
 
 RRF = 60
+#: Query vectors that one pass broadcasts, about.
+QUERY_BLOCK = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,19 +43,25 @@ def lexical(terms: DataFrame, queries: DataFrame, key: str, qkey: str) -> DataFr
     """
     dv = T.hashed_vectors(terms, key)
     qv = T.hashed_vectors(queries, qkey).select(qkey, F.col("bucket").alias("_b"), F.col("weight").alias("_w"))
-    cos = dv.join(F.broadcast(qv), F.col("bucket") == F.col("_b")).groupBy(qkey, key).agg(F.sum(F.col("weight") * F.col("_w")).alias("cos"))
+    cos = dv.join(qv, F.col("bucket") == F.col("_b")).groupBy(qkey, key).agg(F.sum(F.col("weight") * F.col("_w")).alias("cos"))
     q = queries.select(F.col(qkey).alias("_q"), F.col("term").alias("_t"), F.col("kind").alias("_k"))
     size = queries.groupBy(F.col(qkey).alias("_s")).agg(F.count_if(F.col("kind") == "word").alias("words_n"), F.count_if(F.col("kind") == "ngram").alias("ngrams_n"))
-    shared = terms.join(F.broadcast(q), (F.col("term") == F.col("_t")) & (F.col("kind") == F.col("_k"))).groupBy("_q", F.col(key).alias("_d")).agg(F.count_if(F.col("kind") == "word").alias("w"), F.count_if(F.col("kind") == "ngram").alias("g"))
-    both = cos.join(shared, (F.col(qkey) == F.col("_q")) & (F.col(key) == F.col("_d")), "left").join(F.broadcast(size), F.col(qkey) == F.col("_s"))
+    shared = terms.join(q, (F.col("term") == F.col("_t")) & (F.col("kind") == F.col("_k"))).groupBy("_q", F.col(key).alias("_d")).agg(F.count_if(F.col("kind") == "word").alias("w"), F.count_if(F.col("kind") == "ngram").alias("g"))
+    both = cos.join(shared, (F.col(qkey) == F.col("_q")) & (F.col(key) == F.col("_d")), "left").join(size, F.col(qkey) == F.col("_s"))
     share = F.lit(0.2) * F.coalesce("g", F.lit(0)) / F.greatest("ngrams_n", F.lit(1)) + F.lit(0.1) * F.coalesce("w", F.lit(0)) / F.greatest("words_n", F.lit(1))
     return both.select(qkey, key, F.least(F.lit(1.0), F.col("cos") + share).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, vector: str = "embedding") -> DataFrame:
-    """(qkey, key, similarity) of a stated set of query vectors against all rows."""
+def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(qkey, key, similarity) of a stated set of query vectors against all rows.
+
+    The queries are counted, and taken in as many passes as keep what is broadcast under ``block`` vectors.
+    """
     q = queries.select(F.col(qkey), F.col(vector).alias("_q"))
-    return vectors.crossJoin(F.broadcast(q)).select(qkey, key, dot(F.col(vector), F.col("_q")).alias("similarity"))
+    passes = max(1, -(-q.count() // block))
+    parts = [q if passes == 1 else q.filter(F.pmod(F.xxhash64(qkey), F.lit(passes)) == n) for n in range(passes)]
+    scored = [vectors.crossJoin(F.broadcast(p)).select(qkey, key, dot(F.col(vector), F.col("_q")).alias("similarity")) for p in parts]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def fused(a: DataFrame, b: DataFrame, qkey: str, key: str, a_rank: str, b_rank: str, k: int = RRF) -> DataFrame:

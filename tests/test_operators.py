@@ -159,3 +159,10 @@ def test_ask_filters_and_refuses(spark):
     assert C.ask("imports", u, m).count() == 0 and C.ask("patterns", u.limit(0), m).count() == 0
     with pytest.raises(ValueError):
         C.ask("else", u, m)
+
+
+def test_dense_in_passes_is_the_same(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "i int, embedding array<float>")
+    q = v.select(F.col("i").alias("q"), "embedding").filter("q < 9")
+    one, many = (sorted(map(tuple, R.dense(v, q, "i", "q", block=b).collect())) for b in (100, 2))
+    assert one == many and len(one) == 270
