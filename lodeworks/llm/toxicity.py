@@ -97,6 +97,24 @@ def _unstar(m: re.Match) -> str:
     return re.sub(r"[*#%~^]", "", m[0])
 
 
+def _parted(word: str) -> list[str]:
+    """A run of letters as words of the lexicon, longest first; empty where it is none."""
+    for i in range(len(word), 1, -1):
+        if word[:i] in _WHOLE:
+            rest = _parted(word[i:]) if i < len(word) else []
+            if rest or i == len(word):
+                return [word[:i], *rest]
+    return []
+
+
+def _close_up(m: re.Match) -> str:
+    """Spaced letters as a word, or as several where the lexicon has them, after one letter that may stand alone."""
+    word = m[0].replace(m[1], "")
+    bare = re.sub(r"([a-z])\1+", r"\1", word.lower())
+    parts = _parted(bare) or ([bare[0], *_parted(bare[1:])] if _parted(bare[1:]) else [])
+    return " ".join(parts) or word
+
+
 _BY_FIRST: dict[str, list[str]] = defaultdict(list)
 for _w in sorted(_WHOLE):
     _BY_FIRST[_w[:1]].append(_w)
@@ -108,7 +126,7 @@ def plain(sentence: str) -> str:
     if not s.isascii():
         s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s)).translate(_LOOKALIKE)
         s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
-    s = _SPACED.sub(lambda m: m[0].replace(m[1], ""), s)
+    s = _SPACED.sub(_close_up, s)
     if "*" in s or "#" in s or "~" in s or "^" in s or "%" in s:
         s = _PATTERN.sub(_unstar, s)
     s = _STARRED.sub("", s)

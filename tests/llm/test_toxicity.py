@@ -43,6 +43,12 @@ def test_disguises(chain, text):
     assert X.any_of(chain.probabilities([X.features(text)]))[0] >= chain.threshold
 
 
+def test_spaced_words_part_at_the_lexicon():
+    assert X.plain("What a b r a i n l e s s excuse") == "what a brainles excuse"
+    assert X.plain("a f u c k i n g p a r a s i t e") == "a fucking parasite"
+    assert X.plain("q u i t e") == "quite"
+
+
 def test_labels():
     assert X.decide([(" Insult", 0.9), ("insult", None), ("none", 0.1)]) == "insult"
     assert X.decide([("none", 0.1), ("threat", 0.9)]) == "threat"
