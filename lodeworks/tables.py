@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeworks.plans.shipping import ship
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` below ``sf_dir``; Parquet carries the schema, so nothing is inferred from rows."""
+    """Table ``name`` below ``sf_dir``; Parquet carries the schema, so nothing is inferred from rows.
+
+    The first table read in a context also hands the package to the executors.
+    """
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
