@@ -115,6 +115,20 @@ def agreed(match: np.ndarray, least: int = MIN_WORDS) -> int:
     return best
 
 
+def near(doc: np.ndarray, raw: np.ndarray, at: int, slack: int) -> np.ndarray:
+    """Which words of the item match on any diagonal within ``slack`` of an alignment: no shift within it matches more."""
+    n = len(raw)
+    part = np.zeros(n + 2 * slack, np.int64)
+    lo, hi = max(0, at - slack), min(len(doc), at + n + slack)
+    part[lo - at + slack : hi - at + slack] = doc[lo:hi]
+    return (np.lib.stride_tricks.sliding_window_view(part, n) == raw).any(axis=0)
+
+
+def slack_of(raw: np.ndarray) -> int:
+    """Diagonals that a passage of the item may wander: a word put in or left out for each ten, four at least."""
+    return max(4, len(raw) // 10 + 1)
+
+
 def shifted(doc: np.ndarray, raw: np.ndarray, at: int, slack: int = 4) -> np.ndarray:
     """Which words of the item match when words were put in or left out: longest common subsequence near an alignment."""
     n = len(raw)
@@ -165,12 +179,13 @@ def leaks_of(index: Items, keys: list, texts: list[str], least: int = MIN_WORDS)
         same = np.zeros(len(raw), bool)
         same[lo:hi] = raw[lo:hi] == code[at + lo : at + hi]
         hits = int(same.sum())
-        if hits < 8:
+        slack = slack_of(raw)
+        if hits < 8 and not agreed(np.logical_and.reduceat(near(code, raw, int(at), slack), index.groups[i]), least):
             continue
         need = min(least, len(index.groups[i])) * 0.9
         n = agreed(np.logical_and.reduceat(same, index.groups[i]), least) if hits >= need else 0
         if not n or n < len(index.groups[i]):
-            n = max(n, agreed(np.logical_and.reduceat(shifted(code, raw, int(at)), index.groups[i]), least))
+            n = max(n, agreed(np.logical_and.reduceat(shifted(code, raw, int(at), slack), index.groups[i]), least))
         if n and n > best.get((d, i), 0):
             best[d, i] = n
     return [(keys[d], index.ids[i], n) for (d, i), n in best.items()]

@@ -20,6 +20,23 @@ def test_disguises_and_noise():
     assert found(*texts) == set(range(len(texts)))
 
 
+def test_words_left_out_or_put_in_cut_a_stretch_into_short_runs():
+    w = ITEM.split()
+
+    def cut(a, n, at):
+        return "a b " + " ".join(x for i, x in enumerate(w[a : a + n]) if i not in at) + " c d"
+
+    def filled(a, n, at):
+        return "a b " + " ".join(f"often {x}" if i in at else x for i, x in enumerate(w[a : a + n])) + " c d"
+
+    texts = [cut(2, 20, (6, 13)), cut(5, 22, (7, 14)), cut(8, 30, (7, 15, 22)), filled(2, 20, (6, 13)), filled(8, 21, (7, 14))]
+    assert found(*texts) == set(range(len(texts)))
+    short = " ".join(w[:30])
+    dropped = " ".join(x for i, x in enumerate(w[:30]) if i not in (7, 15, 22))
+    assert L.leaks_of(L.Items([(1, short)]), [0], [dropped]) == [(0, 1, 30)]
+    assert found(cut(2, 20, (5, 10, 15)), cut(2, 17, (6, 13))) == set()
+
+
 def test_no_leaks():
     w = ITEM.split()
     assert found(OTHER, " ".join(w[:14]), " ".join(w[10:28]), "", " ".join(x if i % 5 else "often" for i, x in enumerate(w)), " ".join(random.Random(1).sample(w, len(w)))) == set()
