@@ -1,7 +1,7 @@
 """Credentials in source and configuration text: found, located by byte and blanked out in place (problem 6).
 
-A text is parsed into *settings*: key path, value and the value's byte range. JSON, YAML, env and ini lines,
-assignments and keyword arguments of the usual languages, headers and bare addresses all give settings. A setting
+A text is parsed into *settings*: key path, value and the value's byte range. JSON, YAML, env and ini texts are read
+into key paths (``settings``), of which any name may be sensitive; assignments and keyword arguments of the usual languages, headers and bare addresses all give settings. A setting
 counts as a credential by the shape of its value (prefix of a known issuer, PEM head, signed token, address with
 a password) or by a sensitive key name joined with a value that could be used as it stands.
 """
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm import settings as S
 
 class Finding(NamedTuple):
     line: int
@@ -71,6 +72,10 @@ _HEXID = re.compile(r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-
 _CALL = re.compile(r"^[A-Za-z_][\w.]*\s*[(\[]|^[a-z_]\w*(?:\.\w+)+$|^@\w")
 #: A setting's key holds one of these.
 _HINT = re.compile(r"pass|pw|secret|token|key|auth|cred|bearer|access|private|signing|jwt|hook|salt|cookie|session|pat(?![a-z])")
+#: A name that says what its value is, so that a sensitive name further out says nothing of it.
+_DESCRIBES = {"user", "username", "login", "email", "mail", "owner", "account", "host", "hostname", "server", "endpoint", "domain", "port", "region", "zone", "database", "db", "schema", "version", "mode", "algorithm", "alg", "kind", "created", "updated", "rotated", "issued", "expires", "date", "time", "timestamp", "provider", "issuer", "audience", "scope", "namespace", "title", "description", "note", "comment", "status", "state", "size", "level"}
+#: A sensitive name that opens a mapping, a list, a section or a block, or names the value beside it.
+_OUTER = re.compile(rf"(?:{_HINT.pattern})[\w.\- ]*[\"']?\s*[:=]\s*(?:$|[\[{{|>&!#/])|^[ \t]*\[[^\]\n]*(?:{_HINT.pattern})[^\n]*\]|\b(?:name|key|var|variable)[\"']?\s*:\s*[\"']?[\w.\-]*(?:{_HINT.pattern})", re.M)
 
 
 def _entropy(s: str) -> float:
@@ -112,6 +117,20 @@ def _key_says(key: str) -> str:
     return "weak" if set(rest) & _WEAK else ""
 
 
+def _path_says(path: tuple[str, ...]) -> tuple[str, bool]:
+    """(strong, weak or nothing; whether an outer name says so) of a key path: the innermost name that says anything counts."""
+    names = [p for p in path if not p.isdigit()]
+    for k, name in enumerate(reversed(names)):
+        words = {w.lower() for w in _WORD.findall(name)}
+        says = _key_says(name) or _key_says(re.sub(r"(?<=[a-z])s(?![a-z])", "", name))
+        if says:
+            # the elements of a list, and a value beside its name, belong to the name itself
+            return says, k > 0 and not (k == 1 and names[-1].lower() in S._VALUES)
+        if not k and words & (_NAMES_ONLY | _DESCRIBES):
+            return "", False
+    return "", False
+
+
 def _decoded(value: str) -> str:
     try:
         return base64.b64decode(value, validate=True).decode("utf-8")
@@ -175,6 +194,22 @@ def scan(text: str) -> list[Finding]:
             continue
         if not any(a < end and start < b for a, b in hits):
             hits[start, end] = ("setting", m["key"])
+    if _OUTER.search(low) or any(kind == "setting" for kind, _ in hits.values()):
+        for path, start, end in S.settings(text):
+            name = ".".join(path)
+            if (start, end) in hits:
+                if hits[start, end][0] == "setting":
+                    hits[start, end] = ("setting", name)
+                continue
+            says, outer = _path_says(path)
+            value = re.sub(r"\s*\n\s*", "", text[start:end])
+            if not says or not usable(value):
+                continue
+            digit = re.search(r"\d", value)
+            if not (_random(value) and (digit or says == "strong") or says == "strong" and _password_like(value) and (digit or not outer)):
+                continue
+            if not any(a < end and start < b for a, b in hits):
+                hits[start, end] = ("setting", name)
     prose = _PROSE.finditer(text) if any(w in low for w in ("pass", "pwd", "secret", "token", "key", "credential")) else ()
     for m in prose:
         value = m["v"].rstrip(".")

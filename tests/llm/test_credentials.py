@@ -51,3 +51,30 @@ def test_table(spark):
     assert C.find(df.limit(0), "id", "content").count() == 0
     red = {r.id: r.redacted for r in C.redacted(df.filter("id <> 'd'"), "content").collect()}
     assert red["a"] == 'password = "REDACTED"' and red["b"] is None and red["c"] == ""
+
+
+def test_sensitive_names_above_the_value():
+    v = "Zx81kQ0vTq7LmN2e"
+    texts = {
+        '{"credentials": {"primary": "%s"}}' % v: "credentials.primary",
+        '{"svc": {"api_keys": ["%s", "on"]}}' % v: "svc.api_keys.0",
+        '"secrets": {\n  "blue": "%s",' % v: "secrets.blue",
+        '[{"name": "DB_PASSWORD", "value": "%s"}]' % v: "0.DB_PASSWORD.value",
+        "db:\n  password:\n    %s\n  size: 3\n" % v: "db.password",
+        "env:\n  - name: DB_PASSWORD\n    value: %s\n" % v: "env.0.DB_PASSWORD.value",
+        "env:\n  - value: %s\n    name: DB_PASSWORD\n" % v: "env.0.DB_PASSWORD.value",
+        "api_keys:\n- %s\n" % v: "api_keys.0",
+        "api_keys: [%s]\n" % v: "api_keys.0",
+        "secret: |\n  %s\nsize: 3\n" % v: "secret",
+        'api_keys = ["%s"]\n[a]\nb = 1\n' % v: "api_keys.0",
+        "[credentials]\nprimary = %s\n" % v: "credentials.primary",
+        'a:\n  password: "%s"\n' % v: "a.password",
+    }
+    for text, key in texts.items():
+        assert [(f.key, text.encode()[f.start : f.end].decode()) for f in C.scan(text)] == [(key, v)], text
+        assert C.scan(C.redact(text)) == []
+
+
+def test_outer_names_say_nothing_of_described_or_unusable_values():
+    for text in ['{"credentials": {"username": "svc-ledger-01", "region": "us-east-1"}}', "secrets:\n  primary: ${DB_PASSWORD}\n", '{"tokenAgent": ["vector", "claim"]}', 'const tokenData = [\n  "Zx81kQ0vTq7LmN2eZx81",\n];\n', 'tokens_of = [\n  "Zx81kQ0vTq7LmN2eZx81",\n]\nprint(tokens_of)\n', "env:\n  - name: DB_HOST\n    value: Zx81kQ0vTq7LmN2e\n", "credentials:\n  size: 3\nprimary: Zx81kQ0vTq7LmN2e\n", "[credentials]\nlevel = 3\n[other]\nprimary = Zx81kQ0vTq7LmN2e\n"]:
+        assert C.scan(text) == [], text
