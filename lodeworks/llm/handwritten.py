@@ -98,10 +98,12 @@ _BY_HAND = re.compile(r"(?i)maintained by hand|written by hand|hand[\s-]?written
 _FOREIGN = re.compile(
     r"(?im)\bSPDX-License-Identifier:|\blicensed under the\b|\bredistribution and use in source and binary\b|@licen[sc]e\b|\breleased under the [\w\- .]+ licen[sc]e\b|\bpermission is hereby granted\b|^\W*upstream: https?://|\bcopied (?:verbatim )?from https?://|\bvendored from\b|\bported from https?://|\(c\) the [\w\- ]+ authors\b|\bcopyright \(c\)|\b(?:mozilla public|gnu (?:lesser )?general public) license"
 )
+#: Any notice of either kind holds one of these, in lower case.
+_PARTS = ("generated", "automatically ", "produced by", "do not edit", "do not modify", "manual changes", "source:", "this file", "spdx-", "licensed under", "redistribution and", "@licen", "released under", "permission is", "upstream:", "copied ", "vendored from", "ported from", "(c) the", "copyright (c)", "mozilla public", "gnu ")
 _OWN = re.compile(r"(?i)copyright [\w\- ]*workspace contributors")
 #: What blocks of data are made of: numbers, strings without words, brackets and separators.
 _DATUM = re.compile(r"""["'`][^"'`\s]*(?:\d[^"'`\s]*|[A-Za-z0-9+/=_\-]{40,})["'`]|(?<![\w])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLuUnf]?(?![\w])|[\s\[\]{}(),:;=]+""")
-_LOCK = re.compile(r'"lockfileVersion"\s*:|^# yarn lockfile|^lockfileVersion:|^# This file is automatically @generated by')
+_LOCK = re.compile(r'"lockfileVersion"\s*:|^# yarn lockfile|(?m:^lockfileVersion:)|^# This file is automatically @generated by')
 CODE = {"py", "js", "ts", "java", "go", "jsx", "tsx", "mjs", "cjs", "c", "h", "cpp", "cs", "rb", "php", "rs", "css"}
 
 
@@ -111,7 +113,7 @@ def evidence(path: str, text: str) -> str:
     if not text:
         return ""
     if ext in ("json", "yaml", "yml", "md"):
-        return "lock" if _LOCK.search(text[:4_000]) else ""
+        return "lock" if _LOCK.search(text) else ""
     head = _head(text, ext)
     notice = _GENERATED.search(head)
     if notice and not _BY_HAND.search(head):
@@ -120,6 +122,13 @@ def evidence(path: str, text: str) -> str:
         return "vendored"
     if ext not in CODE:
         return ""
+    for block in _later(text, ext, len(head)):
+        if _BY_HAND.search(block):
+            continue
+        if _GENERATED.search(block):
+            return "generated"
+        if _FOREIGN.search(block) and not _OWN.search(block):
+            return "vendored"
     size = len(text)
     if size >= 400 and sum(c.isdigit() for c in text) * 12 >= size and len(_DATUM.sub("", text)) <= 0.3 * size:
         return "data"
@@ -138,15 +147,31 @@ def evidence(path: str, text: str) -> str:
 
 
 def _head(text: str, ext: str) -> str:
-    """The comments before the first code, at most the first few kilobytes: where notices stand."""
-    part = text[:6_000]
+    """The comments before the first code, of any length: where notices stand."""
     if ext in ("py", "rb", "sh"):
-        m = re.match(r"(?:\s*(?:#[^\n]*|\"{3}(?:[^\"]|\"(?!\"\"))*\"{3}|'{3}(?:[^']|'(?!''))*'{3})(?:\n|$))*", part)
+        m = re.match(r"(?:\s*+(?:#[^\n]*+|\"{3}[^\"]*+(?:\"(?!\"\")[^\"]*+)*+\"{3}|'{3}[^']*+(?:'(?!'')[^']*+)*+'{3})(?:\n|$))*+", text)
     else:
-        m = re.match(r"(?:\s*(?:#![^\n]*|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|['\"]use strict['\"];?))*", part)
+        m = re.match(r"(?:\s*+(?:#![^\n]*+|//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/|['\"]use strict['\"];?))*+", text)
     return m[0] if m else ""
 
 
+def _later(text: str, ext: str, at: int) -> list[str]:
+    """The comments behind ``at`` that begin a line, neighbours together: a notice may stand below the first code."""
+    low = text[at:].lower()
+    if not any(p in low for p in _PARTS):
+        return []
+    out, end = [], -1
+    for s in lexing.spans(text, ext):
+        if s.start < at or s.kind == "string" or s.start and text[s.start - 1] != "\n":
+            continue
+        if end >= 0 and not text[end : s.start].strip():
+            out[-1] += "\n" + text[s.start : s.end]
+        else:
+            out.append(text[s.start : s.end])
+        end = s.end
+    return out
+
+
 def path_parts(path: str) -> list[str]:
     """Pattern keys of a path: its directories below the repository and the shape of its file name."""
     bits = path.split("/")

@@ -33,6 +33,26 @@ def test_evidence(path, text, kind):
     assert H.evidence(path, text) == kind
 
 
+LONG = "Licence terms of the own workspace, in full. " * 200
+
+
+@pytest.mark.parametrize(
+    "path,text,kind",
+    [
+        ("/s/w/r/a.js", f"/*\n{LONG}\n */\n// AUTO-GENERATED FILE - do not modify by hand\n" + BODY, "generated"),
+        ("/s/w/r/a.js", f"/*\n{LONG}\n * Licensed under the kv licence\n */\n" + BODY, "vendored"),
+        ("/s/w/r/a.py", f'"""{LONG}\nCode generated by schemagen.\n"""\nx = 1\n', "generated"),
+        ("/s/w/r/deps.json", '{"dependencies": {' + ", ".join(f'"p{i}": "{i}"' for i in range(900)) + '}, "lockfileVersion": 3}', "lock"),
+        ("/s/w/r/deps.yaml", "dependencies:\n" + "  a: 1\n" * 900 + "lockfileVersion: 5.4\n", "lock"),
+        ("/s/w/r/a.go", "package a\n\n// Code generated by schemagen 1.1. DO NOT EDIT.\n\nfunc F() {}\n", "generated"),
+        ("/s/w/r/a.go", 'package a\n\nvar s = "code generated by hand"\n\n// F writes files; it is maintained by hand, not generated by a tool.\nfunc F() {}\n', ""),
+        ("/s/w/r/a.js", f"/* {LONG} */\n" + BODY, ""),
+    ],
+)
+def test_evidence_far_into_the_text(path, text, kind):
+    assert H.evidence(path, text) == kind
+
+
 def test_globs():
     import re
 
