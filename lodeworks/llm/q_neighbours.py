@@ -21,9 +21,14 @@ def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of paths with at least 0.95 cosine.
+
+    Exact copies are searched once. A class of up to 11 copies comes as all its pairs, and each member stands in the
+    pairs of the class; a larger one comes as pairs with its representative (``p2_copies`` has the membership).
+    """
     rows = _dense(spark, sf_dir)
     version = F.col("qwen3_version")
-    vectors = cut(N.distinct_vectors(rows, "path", "qwen3_vector", version))
+    vectors = cut(N.distinct_vectors(rows, "path", "qwen3_vector", version).withColumn("id", F.monotonically_increasing_id()))
     near = N.pairs_within(spark, vectors, 0.95).select(F.col("rep").alias("a"), F.col("other").alias("b"))
     # a class of copies pairs all its members while it is small, else each with its representative
     copied = vectors.filter("copies > 1")

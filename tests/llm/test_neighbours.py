@@ -20,7 +20,7 @@ SCHEMA = "path string, vec array<float>, ver string, rep string, similarity int"
 def pairs(spark, rows, least=0.95, **kw):
     df = spark.createDataFrame(rows, SCHEMA).filter(N.sound(F.col("vec"), 16))
     v = N.distinct_vectors(df, "path", "vec", F.col("ver")).cache()
-    return {(r.rep, r.other) for r in N.pairs_within(spark, v, least, **kw).collect()}, v
+    return {p for r in N.pairs_within(spark, v, least, **kw).collect() for p in ((r.rep, r.other), (r.other, r.rep))}, v
 
 
 def brute(rows, least=0.95):
@@ -77,3 +77,32 @@ def test_encoding_sums_codewords():
     assert ((x - back) ** 2).sum() < 0.5 * (x**2).sum()
     s = N.scores(b.tables(x[:5]), codes, norms)
     assert np.allclose(s, x[:5] @ back.T / np.sqrt(norms), atol=1e-3)
+
+
+def test_a_dense_cluster_loses_no_pair(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    rows = [(f"c{i:03d}", [float(v) for v in centre + rng.normal(size=16) * 0.02], "v1", "junk", 5) for i in range(200)] + make(300)
+    assert len(brute(rows[:200])) == 39_800
+    assert pairs(spark, rows)[0] == brute(rows)
+
+
+def test_cells_of_two_books_find_the_same(spark):
+    rows = make(1_200)
+    x = np.array([np.array(r[1]) / np.linalg.norm(r[1]) for r in rows], np.float32)
+    assert pairs(spark, rows, books=N.fit(x, 12, words=16, books=6, deep=True))[0] == brute(rows)
+
+
+def test_the_bound_of_candidates_holds():
+    rng = np.random.default_rng(4)
+    x = N._unit(__import__("pandas").Series(list(rng.normal(size=(500, 24)))))
+    books = N.fit(x, 10, words=8, books=4)
+    codes, _ = books.encode(x)
+    floor = N.reachable(x, books.decode(codes), 0.9)
+    for _ in range(20):
+        w = rng.normal(size=x.shape)
+        w -= np.einsum("nd,nd->n", w, x)[:, None] * x
+        w /= np.linalg.norm(w, axis=1)[:, None]
+        c = rng.uniform(0.9, 1, len(x))[:, None]
+        q = (c * x + np.sqrt(1 - c**2) * w).astype(np.float32)
+        assert (np.diagonal(N.products(books, q, codes)) >= floor).all()
