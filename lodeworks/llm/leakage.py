@@ -1,14 +1,17 @@
 """Evaluation passages that leak into a corpus (problem 9).
 
-Words are canonicalised into templates: numbers, names and units become typed placeholders. Windows of template
-words are hash-joined between documents and items; each hit fixes an alignment of the two, on which the slots are
-compared word by word. A re-parameterised question agrees in its template and fails on its slots.
+Words are canonicalised into templates: numbers, units and names become typed placeholders, whatever their value.
+Hashes of template windows of documents and items meet in a hash join. A pair goes on only if it shares as many windows
+as a passage of the wanted length must leave whole, whatever the differences allowed; that rule loses nothing. The two
+texts of such a pair are aligned, and the slots decide: where the words themselves agree the item is leaked, where
+only the template does and every slot value of the item stands for one value throughout, it is re-parameterised.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,82 +19,85 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.plans.lineage import cut
+
 #: Template words of one window; ten per cent of noise leaves such a run in every twenty words.
 WINDOW = 5
 MIN_WORDS = 20
-#: Items that one pass holds in memory; more are taken in blocks.
-BLOCK = 20_000
+#: Rows up to which the windows of the items, and the pairs to compare, are broadcast; beyond that both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"\d+(?:\.\d+)?(?![^\W\d_])|[^\W_]+")
-_MARKUP = re.compile(r"<(?:/?[A-Za-z][^<>]{0,200}|!--.{0,400}?--)>", re.S)
-_NAME = re.compile(r"[a-z]+[A-Z]|[A-Za-z]+[_\-]\w|^[A-Z]+\d|^[A-Z][a-z]+")
+_MARKUP = re.compile(r"""</?[A-Za-z][\w:\-]*+(?:\s++[\w:@.\-]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))?)*+\s*+/?>|<!--.*?-->""", re.S)
+_NAME = re.compile(r"(?<![A-Za-z])(?:[a-z]+[A-Z]\w*|[A-Z]+\d\w*|[A-Za-z]+(?:[_\-]\w+)+)|(?<=[\w,;:] )[A-Z][a-z]+")
 UNITS = frozenset("mg ml mm cm kg g l percent units unit doses dose seconds second minutes minute hours hour days day weeks week months month years year times rows entries edges keys retries".split())
 NUMBER, UNIT, NAME = 1, 2, 3
 
 
+def _bare(text: str) -> str:
+    """A text without markup and entities."""
+    return html.unescape(_MARKUP.sub(" ", text)) if "<" in text or "&" in text else text
+
+
 def words(text: str) -> list[str]:
     """The words of a text in lower case, without markup, entities, marks and punctuation. A number with a point is one word."""
-    if "<" in text or "&" in text:
-        text = html.unescape(_MARKUP.sub(" ", text))
-    return _WORD.findall(text.lower())
-
-
-class Items:
-    """The index of a block of items: word and template ids, window hashes, word boundaries."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.raw, self.groups, self.vocabulary, self.canon = [], [], [], {}, {}
-        names: set[str] = set()
-        for _, text in rows:
-            for i, w in enumerate(text.split()):
-                bare = w.strip(".,;:?!()\"'")
-                if i and _NAME.search(bare):
-                    names.update(words(bare))
-        hashes, item, offset = [], [], []
-        for key, text in rows:
-            parts = [p for p in map(words, text.split()) if p]
-            flat = [w for p in parts for w in p]
-            if not flat:
-                continue
-            raw = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 4) for w in flat], np.int64)
-            for w in flat:
-                self.canon[w] = NUMBER if w[0].isdigit() else UNIT if w in UNITS else NAME if w in names else self.vocabulary[w]
-            n = len(self.ids)
-            self.ids.append(key)
-            self.raw.append(raw)
-            self.groups.append(np.cumsum([0, *map(len, parts)])[:-1])
-            h = window_hashes(np.array([self.canon[w] for w in flat], np.int64))
-            hashes.append(h)
-            item.append(np.full(len(h), n))
-            offset.append(np.arange(len(h)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.item = np.concatenate(item)[order] if hashes else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offset)[order] if hashes else np.zeros(0, np.int64)
-        self.template = {v: self.canon[w] for w, v in self.vocabulary.items()}
-        self.table = np.zeros(len(self.vocabulary) + 4, np.int64)
-        for v, c in self.template.items():
-            self.table[v] = c
-        self.table[NUMBER] = NUMBER
-
-    def encode(self, text: str) -> np.ndarray:
-        """Word ids of a document: 0 for words no item has, NUMBER for numbers no item has."""
-        get = self.vocabulary.get
-        return np.array([get(w) or (NUMBER if w[0].isdigit() else 0) for w in words(text)], np.int64)
+    return _WORD.findall(_bare(text).lower())
+
+
+def names(text: str) -> set[str]:
+    """The words, in lower case, of what is written like a name in a text without markup: joined, mixed case, or a capital within a sentence."""
+    return {w for m in _NAME.finditer(text) for w in _WORD.findall(m[0].lower())}
+
+
+_codes: dict[str, int] = {}
+
+
+def _code(word: str) -> int:
+    """The template code of a word: the same number for all numbers, the same for all units, else one of its own."""
+    c = _codes.get(word)
+    if c is None:
+        if len(_codes) > 500_000:
+            _codes.clear()
+        c = _codes[word] = NUMBER if word[0].isdigit() else UNIT if word in UNITS else zlib.crc32(word.encode()) + 4
+    return c
+
+
+def canonical(listed: list[str]) -> np.ndarray:
+    """Template codes of words."""
+    return np.fromiter(map(_code, listed), np.int64, len(listed))
 
 
 def window_hashes(canon: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per window of template words; windows with an unknown word hash to 0."""
+    """One 64-bit hash per window of template codes."""
     n = len(canon) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    h, known = np.zeros(n, np.uint64), np.ones(n, bool)
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
     for k in range(WINDOW):
-        part = canon[k : k + n]
-        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ canon[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        known &= part != 0
-    return np.where(known, h, np.uint64(0))
+    return h.astype(np.int64)
+
+
+def templates(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, their offsets) of a text's windows: once with its names as they are, once more with names as placeholders."""
+    bare = _bare(text)
+    listed = _WORD.findall(bare.lower())
+    canon = canonical(listed)
+    h = window_hashes(canon)
+    at = np.arange(len(h))
+    found = names(bare)
+    if not found or not len(h):
+        return h, at
+    named = np.fromiter((w in found for w in listed), bool, len(listed)) & (canon > UNIT)
+    second = window_hashes(np.where(named, NAME, canon))
+    differ = second != h
+    return np.concatenate([h, second[differ]]), np.concatenate([at, at[differ]])
+
+
+def least_windows(n: int, least: int = MIN_WORDS) -> int:
+    """Windows that any passage worth finding shares with an item of ``n`` words: a differing word spoils at most WINDOW of them."""
+    spared = [m - (WINDOW - 1) - WINDOW * (m // 10) for m in (range(least, n + 1) if n >= least else (n,))]
+    return max(1, min(spared))
 
 
 def agreed(match: np.ndarray, least: int = MIN_WORDS) -> int:
@@ -115,35 +121,25 @@ def agreed(match: np.ndarray, least: int = MIN_WORDS) -> int:
     return best
 
 
-def near(doc: np.ndarray, raw: np.ndarray, at: int, slack: int) -> np.ndarray:
-    """Which words of the item match on any diagonal within ``slack`` of an alignment: no shift within it matches more."""
-    n = len(raw)
-    part = np.zeros(n + 2 * slack, np.int64)
-    lo, hi = max(0, at - slack), min(len(doc), at + n + slack)
-    part[lo - at + slack : hi - at + slack] = doc[lo:hi]
-    return (np.lib.stride_tricks.sliding_window_view(part, n) == raw).any(axis=0)
-
+def slack_of(n: int) -> int:
+    """Diagonals that a passage of an item of ``n`` words may wander: a word put in or left out for each ten, four at least."""
+    return max(4, n // 10 + 1)
 
-def slack_of(raw: np.ndarray) -> int:
-    """Diagonals that a passage of the item may wander: a word put in or left out for each ten, four at least."""
-    return max(4, len(raw) // 10 + 1)
 
-
-def shifted(doc: np.ndarray, raw: np.ndarray, at: int, slack: int = 4) -> np.ndarray:
-    """Which words of the item match when words were put in or left out: longest common subsequence near an alignment."""
-    n = len(raw)
+def aligned(doc: np.ndarray, item: np.ndarray, at: int, slack: int) -> np.ndarray:
+    """For each word of the item the position of its partner in the document, or -1: longest common subsequence near an alignment."""
+    n = len(item)
     lo = max(0, at - slack)
-    part = doc[lo : at + n + slack]
+    part = doc[lo : max(lo, at + n + slack)]
     m = len(part)
-    eq = raw[:, None] == part[None, :]
+    eq = item[:, None] == part[None, :]
     score = np.zeros((n + 1, m + 1), np.int32)
     for i in range(1, n + 1):
-        diag = score[i - 1, :-1] + eq[i - 1]
-        score[i, 1:] = np.maximum.accumulate(np.maximum(diag, score[i - 1, 1:]))
-    out, i, j = np.zeros(n, bool), n, m
+        score[i, 1:] = np.maximum.accumulate(np.maximum(score[i - 1, :-1] + eq[i - 1], score[i - 1, 1:]))
+    out, i, j = np.full(n, -1), n, m
     while i and j:
         if eq[i - 1, j - 1] and score[i, j] == score[i - 1, j - 1] + 1:
-            out[i - 1] = True
+            out[i - 1] = lo + j - 1
             i, j = i - 1, j - 1
         elif score[i - 1, j] >= score[i, j - 1]:
             i -= 1
@@ -152,67 +148,131 @@ def shifted(doc: np.ndarray, raw: np.ndarray, at: int, slack: int = 4) -> np.nda
     return out
 
 
-def leaks_of(index: Items, keys: list, texts: list[str], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(document, item, agreed words) of a batch of documents."""
-    codes = [index.encode(t) for t in texts]
-    gap = np.zeros(WINDOW, np.int64)
-    flat = np.concatenate([x for c in codes for x in (c, gap)]) if codes else np.zeros(0, np.int64)
-    starts = np.cumsum([0, *(len(c) + WINDOW for c in codes)])
-    h = window_hashes(index.table[flat])
-    if not len(h) or not len(index.hashes):
-        return []
-    first = np.searchsorted(index.hashes, h, "left")
-    count = np.searchsorted(index.hashes, h, "right") - first
-    count[h == 0] = 0
-    hit = np.flatnonzero(count)
-    if not len(hit):
-        return []
-    reps = count[hit]
-    pos = np.repeat(hit, reps)
-    which = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-    doc = np.searchsorted(starts, pos, "right") - 1
-    triple = np.unique(np.stack([doc, index.item[which], pos - starts[doc] - index.offset[which]]), axis=1)
-    best: dict[tuple[int, int], int] = {}
-    for d, i, at in triple.T:
-        raw, code = index.raw[i], codes[d]
-        lo, hi = max(0, -at), min(len(raw), len(code) - at)
-        same = np.zeros(len(raw), bool)
-        same[lo:hi] = raw[lo:hi] == code[at + lo : at + hi]
-        hits = int(same.sum())
-        slack = slack_of(raw)
-        if hits < 8 and not agreed(np.logical_and.reduceat(near(code, raw, int(at), slack), index.groups[i]), least):
+def bound(item: list[str], doc: list[str], partner: np.ndarray) -> bool:
+    """Whether slots are filled consistently: each value of the item stands for one value of the document throughout."""
+    values: dict[str, str] = {}
+    return all(values.setdefault(w, doc[k]) == doc[k] for w, k in zip(item, partner) if k >= 0)
+
+
+class Text:
+    """A text read once: its words, raw and template codes and names; of an item also where its whitespace words begin."""
+
+    def __init__(self, text: str, grouped: bool = False):
+        bare = _bare(text)
+        if grouped:
+            parts = [p for p in map(words, text.split()) if p]
+            self.words = [w for p in parts for w in p]
+            self.groups = np.cumsum([0, *map(len, parts)])[:-1]
+        else:
+            self.words = _WORD.findall(bare.lower())
+        self.raw = np.array([zlib.crc32(w.encode()) for w in self.words], np.int64)
+        found = names(bare)
+        canon = canonical(self.words)
+        self.template = np.where(np.array([w in found for w in self.words], bool) & (canon > UNIT), NAME, canon) if found else canon
+        hashes, at = templates(text)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at = hashes[order], at[order]
+
+
+def compare(doc: Text, item: Text, least: int = MIN_WORDS) -> tuple[int, str]:
+    """(words, kind) of the best passage of ``item`` in ``doc``: kind is leaked, re-parameterised or empty."""
+    n, count = len(item.raw), len(item.groups)
+    if not n:
+        return 0, ""
+    lo, hi = np.searchsorted(doc.hashes, item.hashes, "left"), np.searchsorted(doc.hashes, item.hashes, "right")
+    diagonals = {int(d) for k in np.flatnonzero(hi > lo) for d in doc.at[lo[k] : hi[k]] - item.at[k]}
+    slack, best, altered, seen = slack_of(n), 0, 0, -(1 << 60)
+    for at in sorted(diagonals):
+        if at <= seen:
             continue
-        need = min(least, len(index.groups[i])) * 0.9
-        n = agreed(np.logical_and.reduceat(same, index.groups[i]), least) if hits >= need else 0
-        if not n or n < len(index.groups[i]):
-            n = max(n, agreed(np.logical_and.reduceat(shifted(code, raw, int(at), slack), index.groups[i]), least))
-        if n and n > best.get((d, i), 0):
-            best[d, i] = n
-    return [(keys[d], index.ids[i], n) for (d, i), n in best.items()]
+        partner = aligned(doc.raw, item.raw, at, 2 * slack)
+        got = agreed(np.logical_and.reduceat(partner >= 0, item.groups), least)
+        if got > best:
+            best = got
+        if best == count:
+            break
+        if not best:
+            partner = aligned(doc.template, item.template, at, 2 * slack)
+            got = agreed(np.logical_and.reduceat(partner >= 0, item.groups), least)
+            if got > altered and bound(item.words, doc.words, partner):
+                altered = got
+        seen = at + slack if at - slack >= 0 else at  # what lies within the slack was aligned along with it
+    return (best, "leaked") if best else (altered, "re-parameterised" if altered else "")
+
+
+LEAKS = "doc_id long, item_id long, words int, kind string"
+
 
+def _windows(rows: DataFrame, key: str, of_items: bool) -> DataFrame:
+    """(k, h, at) of every template window of each text; of items also the windows a passage must share and its slack."""
 
-LEAKS = "doc_id long, item_id long, words int"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if of_items:
+                for k, t in zip(b["k"], b["text"]):
+                    (h, at), n = templates(t), sum(1 for p in t.split() if words(p))
+                    yield pd.DataFrame({"k": k, "h": h, "at": at.astype(np.int32), "need": np.int32(least_windows(n)), "slack": np.int32(slack_of(n))})
+            else:
+                parts = [templates(t) for t in b["text"]]
+                yield pd.DataFrame({"k": b["k"], "h": [h for h, _ in parts], "at": [at.astype(np.int32) for _, at in parts]})
+
+    schema = "k long, h long, at int, need int, slack int" if of_items else "k long, h array<long>, at array<int>"
+    out = rows.select(F.col(key).cast("long").alias("k"), "text").mapInPandas(run, schema)
+    return out.distinct() if of_items else out.select("k", F.inline(F.arrays_zip("h", "at")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it was counted and is small, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, item): pairs that share as many template windows as a passage must leave whole, close to one alignment.
+
+    The windows of a passage wander over no more alignments than its slack; bands of twice that width, laid over each
+    other by half, have one that holds them all.
+    """
+    asked = cut(_windows(items, "item_id", True).withColumnsRenamed({"k": "item", "at": "offset"}))
+    hits = _windows(docs, "doc_id", False).withColumnsRenamed({"k": "doc"}).join(_small(asked), "h")
+    line = F.col("at") - F.col("offset")
+    bands = F.array(F.floor(line / (2 * F.col("slack"))) * 2, F.floor((line + F.col("slack")) / (2 * F.col("slack"))) * 2 + 1)
+    banded = hits.select("doc", "item", "need", F.explode(bands).alias("band"))
+    shared = banded.groupBy("doc", "item", "band").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).filter("hits >= need")
+    return shared.select("doc", "item").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, words): the documents (doc_id, text) that hold an item (item_id, text) whole or ``least`` of its words in a row.
+    """(doc_id, item_id, words, kind): the documents (doc_id, text) that hold an item (item_id, text) whole or ``least`` of its words in a row.
 
-    The items are a stated query set: they are read to the driver in blocks of ``BLOCK`` and each block passes once
-    over all documents, which are not shuffled. Null ids and null or empty texts give nothing; repeated documents
-    and items count once; items with one text leak together. Extra columns are not read.
+    ``kind`` is ``leaked`` where the words agree but for one in ten, ``re-parameterised`` where they do so only with
+    numbers, units and names taken for placeholders that are filled consistently. Neither documents nor items reach the
+    driver. Only pairs that share enough windows bring their texts together. Null ids and null or empty texts give
+    nothing; repeated documents and items count once; items with one text leak together; an item of fewer than
+    ``WINDOW`` words has no window and is never found. Extra columns are not read.
     """
-    rows = sorted((r[0], r[1]) for r in items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator())
     source = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK):
-        index = Items(rows[at : at + BLOCK])
-
-        def run(batches: Iterator[pd.DataFrame], index: Items = index) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for k in range(0, len(b), 500):
-                    part = b.iloc[k : k + 500]
-                    yield pd.DataFrame(leaks_of(index, list(part["doc_id"]), list(part["text"]), least), columns=["doc_id", "item_id", "words"])
-
-        found = source.mapInPandas(run, LEAKS)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+    asked = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    pairs = cut(candidates(source, asked))
+    told = asked.select(F.col("item_id").alias("item"), F.col("text").alias("item_text")).distinct()
+    joined = source.join(_small(pairs), F.col("doc_id") == F.col("doc")).join(told, "item")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read: dict[str, Text] = {}
+        for b in batches:
+            rows = []
+            last, doc = None, None
+            for d, i, text, item in zip(b["doc_id"], b["item"], b["text"], b["item_text"]):
+                if item not in read:
+                    if len(read) > 20_000:
+                        read.clear()
+                    read[item] = Text(item, True)
+                if doc is None or text != last:
+                    last, doc = text, Text(text)
+                n, kind = compare(doc, read[item], least)
+                if n:
+                    rows.append((d, i, n, kind))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "kind"])
+
+    found = joined.select("doc_id", "item", "text", "item_text").mapInPandas(run, LEAKS)
+    best = F.max(F.struct((F.col("kind") == "leaked").alias("sure"), "words", "kind")).alias("v")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "v.words", "v.kind")

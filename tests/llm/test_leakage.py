@@ -8,8 +8,16 @@ ITEM = "During Saturday rounds at Old Cannery the night nurse notes blurred visi
 OTHER = ITEM.replace("Saturday", "Monday").replace("Old Cannery", "Fernholt").replace("33.0", "12.5").replace("6 missed", "9 missed").replace("Quentolin", "Velomine").replace("63.6", "1.0").replace("gravel cough", "marsh fever").replace("Millrace", "Larkmead").replace("Kestadine", "Oxaphene").replace("blurred vision", "dry mouth").replace("type B fatigue", "sleep drift").replace("total hesperol", "urea quotient")
 
 
+def leak(item, text):
+    """What a pair comes out as, by the rule of shared windows and the comparison."""
+    it, doc = L.Text(item, True), L.Text(text)
+    if len({(h, at) for h, at in zip(it.hashes, it.at) if h in set(doc.hashes)}) < L.least_windows(len(it.groups)):
+        return 0, ""
+    return L.compare(doc, it)
+
+
 def found(*texts):
-    return {d for d, _, _ in L.leaks_of(L.Items([(1, ITEM)]), list(range(len(texts))), list(texts))}
+    return {d for d, t in enumerate(texts) if leak(ITEM, t)[1] == "leaked"}
 
 
 def test_disguises_and_noise():
@@ -33,7 +41,7 @@ def test_words_left_out_or_put_in_cut_a_stretch_into_short_runs():
     assert found(*texts) == set(range(len(texts)))
     short = " ".join(w[:30])
     dropped = " ".join(x for i, x in enumerate(w[:30]) if i not in (7, 15, 22))
-    assert L.leaks_of(L.Items([(1, short)]), [0], [dropped]) == [(0, 1, 30)]
+    assert leak(short, dropped) == (30, "leaked")
     assert found(cut(2, 20, (5, 10, 15)), cut(2, 17, (6, 13))) == set()
 
 
@@ -42,8 +50,26 @@ def test_no_leaks():
     assert found(OTHER, " ".join(w[:14]), " ".join(w[10:28]), "", " ".join(x if i % 5 else "often" for i, x in enumerate(w)), " ".join(random.Random(1).sample(w, len(w)))) == set()
 
 
+def test_other_slots_in_the_same_template_are_told_apart():
+    item = "A ward of 24 beds gives 12 doses of Dravoxan within 90 minutes, then 24 checks follow; how many doses are left when 7 beds stay empty for 3 hours?"
+    other = item.replace("24", "31").replace("12", "15").replace("Dravoxan", "Kestadine").replace("90", "45").replace("7 beds", "9 beds").replace("3 hours", "5 days")
+    assert leak(item, item) == (30, "leaked") and leak(item, "see: " + other)[1] == "re-parameterised"
+    assert leak(item, other.replace("31 checks", "44 checks")) == (0, "")  # one value of the item stands for two
+    assert leak(OTHER, ITEM)[1] != "leaked"
+
+
+def test_short_items_count_whole():
+    item = "Give 5 doses of Quentolin tonight please"
+    assert leak(item, "he said: give 5 doses of quentolin tonight, please!") == (7, "leaked")
+    assert leak(item, "give 5 doses of it tonight")[1] == ""
+    assert L.least_windows(20) == 6 and L.least_windows(60) == 6 and L.least_windows(7) == 3
+
+
 def test_table(spark):
     docs = spark.createDataFrame([(1, "z " * 100_000 + ITEM, 0), (2, None, 0), (None, ITEM, 0), (3, "", 0), (4, ITEM, 0), (4, ITEM, 0)], "doc_id long, text string, words int")
     items = spark.createDataFrame([(7, ITEM, 1), (7, ITEM, 1), (8, ITEM, 1), (9, None, 1), (None, ITEM, 1), (10, "", 1)], "item_id long, text string, doc_id int")
     assert sorted((r.doc_id, r.item_id) for r in L.leaks(docs, items).collect()) == [(1, 7), (1, 8), (4, 7), (4, 8)]
+    L_ROWS, L.BROADCAST_ROWS = L.BROADCAST_ROWS, 0
+    assert L.leaks(docs, items).filter("kind = 'leaked' AND words > 30").count() == 4  # both sides shuffled
+    L.BROADCAST_ROWS = L_ROWS
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
