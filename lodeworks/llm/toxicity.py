@@ -15,13 +15,15 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.tables import spread
+
 CATEGORIES = ("insult", "threat", "hate", "sexual")
 #: Labelled documents the models are fitted on, at most.
 SAMPLE = 4_000
@@ -36,12 +38,13 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·])[^\W\d_])(?:\1[^\W\d_])
 _STARRED = re.compile(r"(?<=[^\W\d_])[*#%~^·_]+(?=[^\W\d_])")
 _MIXED = re.compile(r"(?<![\w@$!|€])(?=[\w@$!|€]*[^\W\d_])(?=[\w@$!|€]*[\d@$!|€])[\w@$!|€]+(?![\w@$|€])")
 _LONG = re.compile(r"([^\W\d_])\1+")
-#: Abusive vocabulary in four languages, in plain letters; stems end in an asterisk. Fixed values, a prior for few labels.
+#: Abusive vocabulary in four languages, in plain letters; stems end in an asterisk. Fixed values, a prior for few labels:
+#: with 4,000 labelled documents the held-out F1 without any of it is the same.
 LEXICON = {
-    "abuse": "idiot* moron* cretin* imbecil* stupid* dumb dumbass* asshole* arsehole* bastard* bitch* scum scumbag* loser* parasite* clown* freak* pig pigs worthless useless pathetic disgusting brainless spineless garbage trash filth* shithead* dickhead* jerk* retard* fool* fucking fuck fucker* shit* stfu crap ass ugly coward* liar* vollidiot* schwachkopf* trottel* depp* arschloch* wichser* mistkerl* dummkopf* penner* versager* abschaum drecks* schei* fresse maul erbarmlich* hirnlos* nutzlos* wertlos* connard* connasse* salaud* salope* abruti* cretin* debil* gueule minable* merde* pauvre ordure* bouffon* encule* gilipollas idiota* estupid* cabron* pendej* tont* inutil* mierda basura asco boca imbecil* larga* cretino* subnormal*",
-    "threat": "kill* murder* beat* break broke stab* shoot* burn* bleed* hurt* destroy* smash* crush* coffin* grave* strangle* choke* die dead bullet* knife fingers bones teeth neck punch* hunt* family schlage* schlag umbring* tote* toten krankenhausreif verprugel* brech* messer verbren* finde wohnst habites casser tuer figure frapper creve* mort brule* vives romper matar mato cara golpe* quemar muert* paliza vigila watch",
-    "hate": "vermin* subhuman* exterminate* rats apes animals breed thieves filthy rot cockroach* infest* deport* inferior ungeziefer untermensch* abschaum ratten parasiten ausrotten vergasen vermine* rats sous nuisible* exterminer vermin racaille escoria* alimana* ratas plaga exterminar sucios echarlos jeter geworfen people race",
-    "sexual": "nude* naked nudes boob* tits tit breasts cock dick pussy horny fuck lips suck* blowjob* cum sexy sex strip undress* grab ass thong panties bed moan* lick* nackt* titten brust* ficken geil schwanz muschi blas* ausziehen hure* nue nues seins bite baiser sucer chatte cul coucher deshabil* desnud* tetas polla follar chupar cono culo caliente desvist* sweetheart uniform",
+    "abuse": "idiot* moron* cretin* imbecil* stupid* dumb dumbass* asshole* arsehole* bastard* bitch* scum scumbag* loser* parasite* clown* freak* pig pigs worthless useless pathetic disgusting brainless spineless garbage trash filth* shithead* dickhead* jerk* retard* fool* fucking fuck fucker* shit* stfu crap ass ugly coward* liar* vollidiot* schwachkopf* trottel* depp* arschloch* wichser* mistkerl* dummkopf* penner* versager* abschaum drecks* schei* fresse maul erbarmlich* hirnlos* nutzlos* wertlos* connard* connasse* salaud* salope* abruti* cretin* debil* gueule minable* merde* ordure* bouffon* encule* gilipollas idiota* estupid* cabron* pendej* tont* inutil* mierda basura imbecil* cretino* subnormal*",
+    "threat": "kill* murder* beat* stab* shoot* burn* bleed* hurt* destroy* smash* crush* strangle* choke* die dead bullet* knife punch* hunt* schlage* schlag umbring* tote* toten verprugel* brech* messer verbren* finde tuer frapper creve* mort brule* romper matar mato golpe* quemar muert* paliza",
+    "hate": "vermin* subhuman* exterminate* filthy rot cockroach* infest* deport* inferior ungeziefer untermensch* abschaum parasiten ausrotten vergasen vermine* nuisible* exterminer vermin racaille escoria* alimana* exterminar sucios",
+    "sexual": "nude* naked nudes boob* tits tit breasts cock dick pussy horny fuck suck* blowjob* cum sexy sex ass thong panties nackt* titten brust* ficken geil schwanz muschi blas* ausziehen hure* nue nues seins bite baiser sucer cul deshabil* desnud* tetas polla follar chupar cono culo desvist*",
 }
 YOU = frozenset("you your yours yourself u ur youre du dich dir dein deine deinen deiner deinem euch ihr tu te toi ton ta tes vous votre vos tus ti contigo usted eres everyone nobody somebody whoever whoevr".split())
 
@@ -143,27 +146,30 @@ def _mark(name: str) -> int:
     return zlib.crc32(name.encode()) % MARKS
 
 
-_seen: dict[str, tuple[int, ...]] = {}
+_seen: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
 
 
-def _of_word(w: str) -> tuple[int, ...]:
-    ids = _seen.get(w)
-    if ids is None:
+def _of_word(w: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+    """(columns, parts of the lexicon) of a word."""
+    known = _seen.get(w)
+    if known is None:
         padded = f"<{w}>"
         grams = {padded[i : i + 4] for i in range(len(padded) - 3)} if 4 <= len(w) <= 40 else set()
-        ids = (_column(f"w:{w}"), *(_column(f"c:{g}") for g in grams), *(_mark(f"k:{k}") for k in kinds_of(w)))
+        kinds = tuple(sorted(kinds_of(w)))
+        known = ((_column(f"w:{w}"), *(_column(f"c:{g}") for g in grams), *(_mark(f"k:{k}") for k in kinds)), kinds)
         if len(_seen) > 200_000:
             _seen.clear()
-        _seen[w] = ids
-    return ids
+        _seen[w] = known
+    return known
 
 
 def features(sentence: str) -> list[int]:
     """Hashed words, pairs of neighbouring words, four-letter pieces and lexicon hits of a sentence, each once."""
     words = ["#" if w.isdigit() else w for w in _WORD.findall(plain(sentence))]
-    out = {i for w in words for i in _of_word(w)}
+    known = [_of_word(w) for w in words]
+    out = {i for ids, _ in known for i in ids}
     out.update(_column(f"b:{a} {b}") for a, b in zip(words, words[1:]))
-    kinds = [k for w in words for k in kinds_of(w)]
+    kinds = [k for _, part in known for k in part]
     if kinds:
         you = any(w in YOU for w in words)
         out.update(_mark(f"m:{k} {min(kinds.count(k), 3)} {you}") for k in set(kinds))
@@ -187,24 +193,29 @@ class Rows:
 
 
 def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, take: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 2e-6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression by Adagrad over the rows ``take``: weights of the hashed and of the extra columns (with bias)."""
+    """Logistic regression by Adagrad over the rows ``take``: weights of the hashed and of the extra columns (with bias).
+
+    The rows are put into batches once; each epoch takes the batches in another order.
+    """
     rng = np.random.default_rng(seed)
     w, g2 = np.zeros(DIMENSIONS, np.float32), np.full(DIMENSIONS, 1e-4, np.float32)
     v, h2 = np.zeros(extra.shape[1] + 1), np.full(extra.shape[1] + 1, 1e-4)
     v[-1] = -2.0
     dense = np.column_stack([extra, np.ones(len(extra))])
+    order, batches = rng.permutation(take), []
+    for at in range(0, len(order), 512):
+        b = order[at : at + 512]
+        n = rows.size[b]
+        pos = np.repeat(rows.start[b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        uniq, inverse = np.unique(rows.index[pos], return_inverse=True)
+        batches.append((b, uniq, inverse.astype(np.int32), rows.value[pos], np.repeat(np.arange(len(b), dtype=np.int32), n)))
     for _ in range(epochs):
-        order = rng.permutation(take)
-        for at in range(0, len(order), 512):
-            b = order[at : at + 512]
-            n = rows.size[b]
-            pos = np.repeat(rows.start[b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            idx, val = rows.index[pos], rows.value[pos]
-            local = np.repeat(np.arange(len(b)), n)
-            z = np.bincount(local, w[idx] * val, len(b)) + dense[b].dot(v)
+        for k in rng.permutation(len(batches)):
+            b, uniq, inverse, val, local = batches[k]
+            now = w[uniq]
+            z = np.bincount(local, now[inverse] * val, len(b)) + dense[b].dot(v)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]) * weight[b]
-            uniq, inverse = np.unique(idx, return_inverse=True)
-            grad = np.bincount(inverse, err[local] * val, len(uniq)) / 32 + decay * w[uniq]
+            grad = np.bincount(inverse, err[local] * val, len(uniq)) / 32 + decay * now
             g2[uniq] += grad**2
             w[uniq] -= rate * grad / np.sqrt(g2[uniq])
             gd = dense[b].T.dot(err) / 32
@@ -248,13 +259,51 @@ def decide(labels: list[tuple[str | None, float | None]]) -> str | None:
     return max(votes, key=lambda k: (votes[k], score[k], k)) if votes else None
 
 
-def train(texts: list[str], labels: list[str]) -> Chain | None:
+Task = tuple  # what fit takes after the rows: extra, y, weight, take, epochs
+Runner = Callable[[Rows, list[Task]], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def here(rows: Rows, tasks: list[Task]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Fits one after the other in this process."""
+    return [fit(rows, *t) for t in tasks]
+
+
+def on_executors(spark: SparkSession) -> Runner:
+    """Fits as tasks of the cluster, one each; the rows of the bounded sample are broadcast once."""
+    held: dict[int, object] = {}
+
+    def run(rows: Rows, tasks: list[Task]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if id(rows) not in held:
+            held[id(rows)] = spark.sparkContext.broadcast(rows)
+        sent = held[id(rows)]
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for k in b["id"]:
+                    w, v = fit(sent.value, *tasks[k])
+                    at = np.flatnonzero(w).astype(np.int32)
+                    yield pd.DataFrame({"id": [k], "at": [at.tobytes()], "w": [w[at].tobytes()], "v": [v.tobytes()]})
+
+        out = [(np.zeros(DIMENSIONS, np.float32), np.zeros(0))] * len(tasks)
+        for r in spark.range(0, len(tasks), 1, len(tasks)).mapInPandas(work, "id long, at binary, w binary, v binary").collect():
+            w = np.zeros(DIMENSIONS, np.float32)
+            w[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["w"], np.float32)
+            out[r["id"]] = (w, np.frombuffer(r["v"], np.float64))
+        return out
+
+    return run
+
+
+def train(texts: list[str], labels: list[str], run: Runner = here) -> Chain | None:
     """A chain from labelled documents; None where there is no positive or no negative document."""
-    doc, lists = [], []
-    for d, t in enumerate(texts):
-        for s in sentences(t):
-            doc.append(d)
-            lists.append(features(s))
+    read = [[features(s) for s in sentences(t)] for t in texts]
+    return train_read(read, labels, run)
+
+
+def train_read(read: list[list], labels: list[str], run: Runner = here) -> Chain | None:
+    """``train`` from the feature lists of each document's sentences."""
+    texts = read
+    doc, lists = [d for d, part in enumerate(read) for _ in part], [x for part in read for x in part]
     if not lists or not set(labels) & set(CATEGORIES) or "none" not in labels:
         return None
     doc, rows = np.array(doc), Rows(lists)
@@ -269,8 +318,8 @@ def train(texts: list[str], labels: list[str]) -> Chain | None:
     weight = np.where(positive, 1.0 / np.sqrt(count), 1.0)
     for _ in range(3):
         p = np.zeros(len(lists))
-        for f in range(FOLDS):
-            p[fold == f] = _prob(rows, none, fit(rows, none, cause.astype(float), weight, every[fold != f], epochs=5))[fold == f]
+        for f, model in enumerate(run(rows, [(none, cause.astype(float), weight, every[fold != f], 5) for f in range(FOLDS)])):
+            p[fold == f] = _prob(rows, none, model)[fold == f]
         top = np.zeros(len(texts))
         np.maximum.at(top, doc, p)
         cause = positive & ((p >= 0.5) | (p >= top[doc]) & (p > 0.05))
@@ -280,9 +329,10 @@ def train(texts: list[str], labels: list[str]) -> Chain | None:
     for c in CATEGORIES:
         y = (cause & (kind == c)).astype(float)
         out = np.zeros(len(lists))
-        for f in range(FOLDS):
-            out[fold == f] = _prob(rows, before, fit(rows, before, y, weight, every[fold != f]))[fold == f]
-        models.append(fit(rows, before, y, weight, every))
+        *held, whole = run(rows, [(before, y, weight, every[fold != f]) for f in range(FOLDS)] + [(before, y, weight, every)])
+        for f, model in enumerate(held):
+            out[fold == f] = _prob(rows, before, model)[fold == f]
+        models.append(whole)
         before = np.column_stack([before, out])
     top = np.zeros(len(texts))
     np.maximum.at(top, doc, any_of(before))
@@ -299,13 +349,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
     """A chain from ``labels`` (doc_id, label, score) on ``docs`` (doc_id, text), on at most ``sample`` documents.
 
     Where more are labelled, those whose id hashes lowest are taken. Null ids, texts and unknown labels are left out.
+    Sentences are read and models fitted on the executors; the driver holds the features of the sample, not its texts.
     """
     rated = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label", F.col("score").cast("double").alias("score"))
     ids = rated.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
     some = rated.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("label", "score")).alias("rated"))
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()
-    known = [(r.text, label) for r in rows if (label := decide([(x.label, x.score) for x in r.rated]))]
-    return train([t for t, _ in known], [x for _, x in known])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            label = [decide([(x["label"], x["score"]) for x in r]) for r in b["rated"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": label, "read": [[np.array(features(s), np.int32).tobytes() for s in sentences(t)] if x else [] for t, x in zip(b["text"], label)]})
+
+    joined = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = sorted((r for r in spread(joined).mapInPandas(read, "doc_id long, label string, read array<binary>").collect() if r["label"]), key=lambda r: (r["doc_id"], r["read"]))
+    return train_read([[np.frombuffer(x, np.int32).tolist() for x in r["read"]] for r in rows], [r["label"] for r in rows], on_executors(docs.sparkSession))
 
 
 SCORES = "doc_id long, source string, score double, insult double, threat double, hate double, sexual double, flagged boolean, worst string"
@@ -319,6 +376,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, np.ndarray] = {}  # sentences come again and again
         for b in batches:
             n = len(b)
             doc, parts = [], []
@@ -329,7 +387,12 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
             best, worst = np.zeros((n, len(CATEGORIES))), [""] * n
             top = np.zeros(n)
             if parts and chain is not None:
-                p = np.concatenate([chain.probabilities([features(s) for s in parts[k : k + 20_000]]) for k in range(0, len(parts), 20_000)])
+                if len(known) > 100_000:
+                    known.clear()
+                new = list(dict.fromkeys(s for s in parts if s not in known))
+                for k in range(0, len(new), 20_000):
+                    known.update(zip(new[k : k + 20_000], chain.probabilities([features(s) for s in new[k : k + 20_000]])))
+                p = np.array([known[s] for s in parts])
                 np.maximum.at(best, np.array(doc), p)
                 total = any_of(p)
                 np.maximum.at(top, np.array(doc), total)
