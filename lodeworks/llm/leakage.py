@@ -148,6 +148,37 @@ def aligned(doc: np.ndarray, item: np.ndarray, at: int, slack: int) -> np.ndarra
     return out
 
 
+def near(doc: np.ndarray, item: np.ndarray, at: int, slack: int) -> np.ndarray:
+    """Which words of the item match on any alignment within ``slack`` of one: no way through them matches more."""
+    n = len(item)
+    part = np.full(n + 2 * slack, -1, np.int64)
+    lo, hi = max(0, at - slack), min(len(doc), at + n + slack)
+    if lo < hi:
+        part[lo - at + slack : hi - at + slack] = doc[lo:hi]
+    return (np.lib.stride_tricks.sliding_window_view(part, n) == item).any(axis=0)
+
+
+def straight(doc: np.ndarray, item: np.ndarray, at: int) -> np.ndarray:
+    """For each word of the item its partner on one alignment, or -1."""
+    lo, hi = max(0, -at), max(0, -at, min(len(item), len(doc) - at))
+    out = np.full(len(item), -1)
+    same = item[lo:hi] == doc[at + lo : at + hi]
+    out[lo:hi][same] = np.flatnonzero(same) + at + lo
+    return out
+
+
+def passage(doc: np.ndarray, item: np.ndarray, groups: np.ndarray, at: int, slack: int, least: int) -> tuple[int, np.ndarray]:
+    """(words, partners) of the best passage near an alignment: on it, or with words put in or left out where that can give more."""
+    partner = straight(doc, item, at)
+    got = agreed(np.logical_and.reduceat(partner >= 0, groups), least)
+    if got < len(groups) and agreed(np.logical_and.reduceat(near(doc, item, at, slack), groups), least) > got:
+        other = aligned(doc, item, at, slack)
+        more = agreed(np.logical_and.reduceat(other >= 0, groups), least)
+        if more > got:
+            return more, other
+    return got, partner
+
+
 def bound(item: list[str], doc: list[str], partner: np.ndarray) -> bool:
     """Whether slots are filled consistently: each value of the item stands for one value of the document throughout."""
     values: dict[str, str] = {}
@@ -185,15 +216,11 @@ def compare(doc: Text, item: Text, least: int = MIN_WORDS) -> tuple[int, str]:
     for at in sorted(diagonals):
         if at <= seen:
             continue
-        partner = aligned(doc.raw, item.raw, at, 2 * slack)
-        got = agreed(np.logical_and.reduceat(partner >= 0, item.groups), least)
-        if got > best:
-            best = got
+        best = max(best, passage(doc.raw, item.raw, item.groups, at, 2 * slack, least)[0])
         if best == count:
             break
         if not best:
-            partner = aligned(doc.template, item.template, at, 2 * slack)
-            got = agreed(np.logical_and.reduceat(partner >= 0, item.groups), least)
+            got, partner = passage(doc.template, item.template, item.groups, at, 2 * slack, least)
             if got > altered and bound(item.words, doc.words, partner):
                 altered = got
         seen = at + slack if at - slack >= 0 else at  # what lies within the slack was aligned along with it
@@ -258,17 +285,19 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read: dict[str, Text] = {}
+        recent: dict[str, Text] = {}
         for b in batches:
             rows = []
-            last, doc = None, None
             for d, i, text, item in zip(b["doc_id"], b["item"], b["text"], b["item_text"]):
                 if item not in read:
                     if len(read) > 20_000:
                         read.clear()
                     read[item] = Text(item, True)
-                if doc is None or text != last:
-                    last, doc = text, Text(text)
-                n, kind = compare(doc, read[item], least)
+                if text not in recent:
+                    if len(recent) >= 64:
+                        recent.clear()
+                    recent[text] = Text(text)
+                n, kind = compare(recent[text], read[item], least)
                 if n:
                     rows.append((d, i, n, kind))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "kind"])
