@@ -3,7 +3,8 @@
 Three sources of knowledge, strongest first: attribute files in the tree that mark paths as generated or vendored
 (with globs, resolved per directory), evidence in the text itself (notices, shape), and path patterns. Patterns are
 conventions, written as an attribute file of lowest rank, and those mined from the corpus: a directory or file name
-whose files bear evidence far more often than others do in several repositories is applied to all files under it.
+that repositories with attribute files declare, or whose files bear evidence far more often than others do in several
+repositories, is applied to all files under it that nothing is declared of.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodeworks.functions import lexing
+from lodeworks.plans.lineage import cut
 
 #: Conventional places and names, in the syntax of attribute files. Fixed values.
 CONVENTIONS = """
@@ -49,6 +50,10 @@ CONVENTIONS = """
 **/composer.lock linguist-generated
 """
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT, MIN_REPOS = 8, 0.3, 4.0, 2
+#: Declared files of a name from which it is a pattern, and the share of its files in declaring repositories.
+MIN_DECLARED, DECLARED_SHARE = 3, 0.8
+#: Rows up to which rules and patterns are broadcast; beyond that both sides are shuffled.
+BROADCAST_ROWS = 100_000
 _ATTRIBUTES = {"linguist-generated": "generated", "linguist-vendored": "vendored"}
 
 
@@ -100,15 +105,18 @@ _FOREIGN = re.compile(
 )
 #: Any notice of either kind holds one of these, in lower case.
 _PARTS = ("generated", "automatically ", "produced by", "do not edit", "do not modify", "manual changes", "source:", "this file", "spdx-", "licensed under", "redistribution and", "@licen", "released under", "permission is", "upstream:", "copied ", "vendored from", "ported from", "(c) the", "copyright (c)", "mozilla public", "gnu ")
-_OWN = re.compile(r"(?i)copyright [\w\- ]*workspace contributors")
 #: What blocks of data are made of: numbers, strings without words, brackets and separators.
 _DATUM = re.compile(r"""["'`][^"'`\s]*(?:\d[^"'`\s]*|[A-Za-z0-9+/=_\-]{40,})["'`]|(?<![\w])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLuUnf]?(?![\w])|[\s\[\]{}(),:;=]+""")
 _LOCK = re.compile(r'"lockfileVersion"\s*:|^# yarn lockfile|(?m:^lockfileVersion:)|^# This file is automatically @generated by')
 CODE = {"py", "js", "ts", "java", "go", "jsx", "tsx", "mjs", "cjs", "c", "h", "cpp", "cs", "rb", "php", "rs", "css"}
 
 
-def evidence(path: str, text: str) -> str:
-    """What the text itself says: generated, lock, vendored, compiled, minified, data, or the empty string."""
+def evidence(path: str, text: str, own: str = "") -> str:
+    """What the text itself says: generated, lock, vendored, compiled, minified, data, or the empty string.
+
+    ``own`` is a pattern of the notices of the corpus's own project, which do not make a file a foreign one.
+    """
+    mine = re.compile(own or r"(?!)", re.I)
     ext = lexing.language(path)
     if not text:
         return ""
@@ -118,7 +126,7 @@ def evidence(path: str, text: str) -> str:
     notice = _GENERATED.search(head)
     if notice and not _BY_HAND.search(head):
         return "generated"
-    if _FOREIGN.search(head) and not _OWN.search(head):
+    if _FOREIGN.search(head) and not mine.search(head):
         return "vendored"
     if ext not in CODE:
         return ""
@@ -127,7 +135,7 @@ def evidence(path: str, text: str) -> str:
             continue
         if _GENERATED.search(block):
             return "generated"
-        if _FOREIGN.search(block) and not _OWN.search(block):
+        if _FOREIGN.search(block) and not mine.search(block):
             return "vendored"
     size = len(text)
     if size >= 400 and sum(c.isdigit() for c in text) * 12 >= size and len(_DATUM.sub("", text)) <= 0.3 * size:
@@ -184,18 +192,23 @@ def path_parts(path: str) -> list[str]:
     return keys
 
 
-EVIDENCE = "path string, repo string, evidence string, keys array<string>"
+RULE = "dir string, depth int, line int, regex string, kind string, on boolean"
+EVIDENCE = "path string, repo string, evidence string, keys array<string>, rules array<struct<dir:string,depth:int,line:int,regex:string,kind:string,on:boolean>>"
 
 
-def examine(contents: DataFrame) -> DataFrame:
-    """(path, repo, evidence, keys) of each path; of repeats of a path the longest text stands."""
+def examine(contents: DataFrame, own: str = "") -> DataFrame:
+    """(path, repo, evidence, keys, rules) of each path, from one reading of the texts.
+
+    Of repeats of a path the greatest evidence stands; ``rules`` holds what an attribute file declares.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "repo": b["path"].map(_repo), "evidence": [evidence(p, t) for p, t in zip(b["path"], b["content"])], "keys": b["path"].map(path_parts)})
+            rules = [[{"dir": p.rsplit("/", 1)[0], "depth": p.count("/"), "line": n, "regex": x, "kind": k, "on": on} for n, x, k, on in parse_attributes(t)] if t and p.rsplit("/", 1)[-1] == ".gitattributes" else [] for p, t in zip(b["path"], b["content"])]
+            yield pd.DataFrame({"path": b["path"], "repo": b["path"].map(_repo), "evidence": [evidence(p, t, own) for p, t in zip(b["path"], b["content"])], "keys": b["path"].map(path_parts), "rules": rules})
 
     rows = contents.filter(F.col("path").isNotNull()).select("path", "content").mapInPandas(run, EVIDENCE)
-    return rows.groupBy("path").agg(F.max("repo").alias("repo"), F.max("evidence").alias("evidence"), F.max("keys").alias("keys"))
+    return rows.groupBy("path").agg(F.max("repo").alias("repo"), F.max("evidence").alias("evidence"), F.max("keys").alias("keys"), F.max("rules").alias("rules"))
 
 
 def _repo(path: str) -> str:
@@ -203,45 +216,46 @@ def _repo(path: str) -> str:
     return bits[3] if path.startswith("/") and len(bits) > 4 else bits[0]
 
 
-def mined(examined: DataFrame) -> DataFrame:
-    """(key, kind) of the path patterns whose files bear evidence of one kind far more often than files at large."""
-    base = examined.agg(F.avg((F.col("evidence") != "").cast("double")).alias("base")).scalar()
-    each = examined.select("repo", "evidence", F.explode("keys").alias("key"))
-    flag = F.col("evidence") != ""
-    per = each.groupBy("key", "repo").agg(F.count(F.lit(1)).alias("files"), F.sum(flag.cast("long")).alias("marked"))
-    kinds = each.filter(flag).groupBy("key", "evidence").count().groupBy("key").agg(F.max_by("evidence", F.struct("count", "evidence")).alias("kind"))
-    share = per.groupBy("key").agg(F.sum("files").alias("files"), F.sum("marked").alias("marked"), F.sum((F.col("marked") > 0).cast("long")).alias("repos"))
-    kept = share.filter((F.col("marked") >= MIN_SUPPORT) & (F.col("repos") >= MIN_REPOS) & (F.col("marked") >= F.col("files") * MIN_SHARE))
-    lifted = kept.filter(F.col("marked") >= F.col("files") * F.least(base * MIN_LIFT, F.lit(0.9)))
-    return lifted.join(kinds, "key").select("key", "kind")
-
-
-RULES = "dir string, depth int, line int, regex string, kind string, on boolean"
-
-
-def declared_rules(contents: DataFrame) -> DataFrame:
-    """(dir, depth, line, regex, kind, on) of every attribute file in the corpus."""
+def mined(labelled: DataFrame) -> DataFrame:
+    """(key, kind) of the path patterns of ``labelled`` (repo, declares, declared, evidence, keys), each key once.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p.rsplit("/", 1)[0], p.count("/"), n, x, k, on) for p, t in zip(b["path"], b["content"]) for n, x, k, on in parse_attributes(t)]
-            yield pd.DataFrame(rows, columns=["dir", "depth", "line", "regex", "kind", "on"])
-
-    files = contents.filter(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("content").isNotNull()).select("path", "content")
-    return files.mapInPandas(run, RULES)
+    A name is a pattern where repositories with attribute files declare nearly all of its files, else where its files
+    bear evidence of one kind far more often than files at large, in several repositories.
+    """
+    flag = F.col("evidence") != ""
+    base = labelled.agg(F.avg(flag.cast("double")).alias("base")).scalar()
+    each = labelled.select("repo", "declares", "declared", "evidence", F.explode("keys").alias("key"))
+    of_repo = each.groupBy("key", "repo").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(flag.cast("long")).alias("marked"),
+        F.sum(F.col("declares").cast("long")).alias("judged"), F.sum((F.col("declared") != "").cast("long")).alias("said"),
+    )
+    share = of_repo.groupBy("key").agg(F.sum("files").alias("files"), F.sum("marked").alias("marked"), F.sum((F.col("marked") > 0).cast("long")).alias("repos"), F.sum("judged").alias("judged"), F.sum("said").alias("said"))
+    by_word = (F.col("said") >= MIN_DECLARED) & (F.col("said") >= F.col("judged") * DECLARED_SHARE)
+    by_text = (F.col("marked") >= MIN_SUPPORT) & (F.col("repos") >= MIN_REPOS) & (F.col("marked") >= F.col("files") * MIN_SHARE) & (F.col("marked") >= F.col("files") * F.least(base * MIN_LIFT, F.lit(0.9)))
+    kept = share.filter(by_word | by_text).select("key", by_word.alias("by_word"))
+    kind = F.when(F.col("declared") != "", F.col("declared")).otherwise(F.col("evidence"))
+    kinds = each.select("key", kind.alias("kind"), (F.col("declared") != "").alias("word")).filter("kind != ''").groupBy("key", "kind", "word").count()
+    first = kinds.join(kept, "key").groupBy("key").agg(F.max_by("kind", F.struct((F.col("by_word") & F.col("word")).alias("w"), "count", "kind")).alias("kind"))
+    return first
 
 
 def declared(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, kind, on): what the attribute files above a path say; the deepest file's last matching line wins.
 
-    A path meets the rules of its own directories only, by an equi-join on the directory.
+    A path meets the rules of its own directories only, by an equi-join on the directory; few rules are broadcast, so
+    that no directory's files have to meet in one task.
     """
     up = F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), n -> substring_index(path, '/', n))")
-    near = paths.select("path", F.explode(up).alias("dir")).join(rules, "dir")
+    near = paths.select("path", F.explode(up).alias("dir")).join(_small(rules), "dir")
     hit = near.filter(F.expr("substring(path, length(dir) + 2) RLIKE regex"))
     return hit.groupBy("path", "kind").agg(F.max_by("on", F.struct("depth", "line")).alias("on"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it was counted and is small, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _conventional(path: str) -> str:
     for rx, kind in _CONVENTIONAL:
         if rx.match(path):
@@ -252,27 +266,36 @@ def _conventional(path: str) -> str:
 _CONVENTIONAL = [(re.compile(x), k) for _, x, k, on in parse_attributes(CONVENTIONS) if on]
 
 
-def classify(contents: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def classify(contents: DataFrame, files: DataFrame | None = None, own: str = "") -> DataFrame:
     """(path, repo, kind, reason): kind is empty for hand-written files, reason is declared, text, convention or mined.
 
     Paths of ``files`` without content are judged by path alone. Markdown, YAML and JSON are cases only as lock files,
-    by declaration or in a vendored place. Null paths give nothing, empty texts no evidence, repeats one row.
+    by declaration or in a vendored place. Null paths give nothing, empty texts no evidence, repeats one row. The texts
+    are read once; what was found in them is kept without the texts.
     """
 
     @F.pandas_udf("string")
     def conventional(paths: pd.Series) -> pd.Series:
         return paths.map(_conventional)
 
-    text = examine(contents)
+    text = examine(contents, own)
     if files is not None:
         named = files.filter(F.col("path").isNotNull()).select(F.col("path").alias("_p")).distinct()
-        text = text.join(named, F.col("path") == F.col("_p"), "full_outer").select(F.coalesce("path", "_p").alias("path"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-    said = declared(text.select("path"), declared_rules(contents)).groupBy(F.col("path").alias("_d")).agg(F.max(F.when(F.col("on"), F.col("kind"))).alias("yes"), F.bool_or(~F.col("on")).alias("no"))
-    patterns = mined(text)
-    by_key = text.select("path", F.explode("keys").alias("key")).join(patterns, "key").groupBy(F.col("path").alias("_m")).agg(F.max("kind").alias("mined"))
+        text = text.join(named, F.col("path") == F.col("_p"), "full_outer").select(F.coalesce("path", "_p").alias("path"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), "rules")
+    text = cut(text)
+    rules = cut(text.filter(F.size("rules") > 0).select("repo", F.inline("rules")))
+    declares = rules.select(F.col("repo").alias("_r")).distinct()
+    if rules.isEmpty():
+        known = text.select("path", "repo", "evidence", "keys", F.lit(False).alias("declares"), F.lit(None).cast("string").alias("yes"), F.lit(False).alias("no"))
+    else:
+        said = declared(text.select("path"), rules.drop("repo")).groupBy(F.col("path").alias("_d")).agg(F.max(F.when(F.col("on"), F.col("kind"))).alias("yes"), F.bool_or(~F.col("on")).alias("no"))
+        known = text.join(said, F.col("path") == F.col("_d"), "left").join(_small(declares), F.col("repo") == F.col("_r"), "left").select("path", "repo", "evidence", "keys", F.col("_r").isNotNull().alias("declares"), "yes", F.coalesce("no", F.lit(False)).alias("no"))
+        known = cut(known)
+    patterns = cut(mined(known.select("repo", "declares", F.coalesce("yes", F.lit("")).alias("declared"), F.when(F.col("no") & F.col("yes").isNull(), "").otherwise(F.col("evidence")).alias("evidence"), "keys")))
+    by_key = known.select("path", F.explode("keys").alias("key")).join(_small(patterns), "key").groupBy(F.col("path").alias("_m")).agg(F.max("kind").alias("mined"))
     prose = F.lower(F.col("path")).rlike(r"\.(json|ya?ml|md|txt|toml)$")
-    all_ = text.join(said, F.col("path") == F.col("_d"), "left").join(by_key, F.col("path") == F.col("_m"), "left").withColumn("place", conventional("path"))
+    all_ = known.join(by_key, F.col("path") == F.col("_m"), "left").withColumn("place", conventional("path"))
     mined_kind = F.when(~prose, F.col("mined"))
-    kind = F.when(F.col("yes").isNotNull(), F.col("yes")).when(F.coalesce("no", F.lit(False)), "").when(F.col("evidence") != "", F.col("evidence")).when(F.col("place") != "", F.col("place")).otherwise(F.coalesce(mined_kind, F.lit("")))
-    reason = F.when(F.col("yes").isNotNull() | F.coalesce("no", F.lit(False)), "declared").when(F.col("evidence") != "", "text").when(F.col("place") != "", "convention").when(mined_kind.isNotNull(), "mined").otherwise("")
+    kind = F.when(F.col("yes").isNotNull(), F.col("yes")).when(F.col("no"), "").when(F.col("evidence") != "", F.col("evidence")).when(F.col("place") != "", F.col("place")).otherwise(F.coalesce(mined_kind, F.lit("")))
+    reason = F.when(F.col("yes").isNotNull() | F.col("no"), "declared").when(F.col("evidence") != "", "text").when(F.col("place") != "", "convention").when(mined_kind.isNotNull(), "mined").otherwise("")
     return all_.select("path", "repo", kind.alias("kind"), reason.alias("reason"))

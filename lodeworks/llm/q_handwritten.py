@@ -9,8 +9,12 @@ from lodeworks.llm import handwritten as H
 from lodeworks.tables import load, spread
 
 
+#: Notices of the workspaces' own project.
+OWN = r"copyright [\w\- ]*workspace contributors"
+
+
 def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.classify(spread(load(spark, sf_dir, "file_contents")), load(spark, sf_dir, "files"))
+    return H.classify(spread(load(spark, sf_dir, "file_contents")), load(spark, sf_dir, "files"), OWN)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

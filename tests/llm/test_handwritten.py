@@ -4,6 +4,7 @@ import pytest
 
 from lodeworks.llm import handwritten as H
 
+OWN = r"copyright [\w\- ]*workspace contributors"
 BODY = "import x from 'y';\n\nexport function f(a) {\n  return a + 1;\n}\n" * 4
 MIN = "".join(f"function a{i}(b){{for(var c=0;c<b.length;c++)d=b[c]^{i};return d}}" for i in range(12))
 
@@ -30,7 +31,7 @@ MIN = "".join(f"function a{i}(b){{for(var c=0;c<b.length;c++)d=b[c]^{i};return d
     ],
 )
 def test_evidence(path, text, kind):
-    assert H.evidence(path, text) == kind
+    assert H.evidence(path, text, OWN) == kind
 
 
 LONG = "Licence terms of the own workspace, in full. " * 200
@@ -90,3 +91,14 @@ def test_patterns_are_mined(spark):
     rows = [(f"/srv/ws/r{i % 3}/src/made/f{i}.ts", ("// @generated by tool\n" if i % 2 else "") + BODY) for i in range(24)] + [(f"/srv/ws/r{i % 3}/src/f{i}.ts", BODY) for i in range(200)]
     got = {r.path: r.kind for r in H.classify(spark.createDataFrame(rows, "path string, content string")).collect()}
     assert all(got[p] == "generated" for p, _ in rows[:24]) and not any(got[p] for p, _ in rows[24:])
+
+
+def test_patterns_of_declaring_repositories_reach_the_others(spark):
+    rows = [(f"/srv/ws/d{r}/.gitattributes", "stubs/** linguist-generated\n*_wire.ts linguist-vendored\nsrc/** -linguist-generated\n") for r in (1, 2)]
+    rows += [(f"/srv/ws/d{r}/stubs/f{i}.ts", BODY) for r in (1, 2) for i in range(3)] + [(f"/srv/ws/d{r}/lib/g{i}_wire.ts", BODY) for r in (1, 2) for i in range(2)]
+    rows += [(f"/srv/ws/d{r}/{d}/h{i}.ts", BODY) for r in (1, 2) for d in ("src", "lib") for i in range(5)]
+    rows += [("/srv/ws/u/stubs/x.ts", BODY), ("/srv/ws/u/lib/y_wire.ts", BODY), ("/srv/ws/u/lib/z.ts", BODY), ("/srv/ws/u/src/w.ts", BODY), ("/srv/ws/u/stubs/readme.md", "# x\n")]
+    got = {r.path: (r.kind, r.reason) for r in H.classify(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got["/srv/ws/u/stubs/x.ts"] == ("generated", "mined") and got["/srv/ws/u/lib/y_wire.ts"] == ("vendored", "mined")
+    assert got["/srv/ws/u/lib/z.ts"] == got["/srv/ws/u/src/w.ts"] == got["/srv/ws/u/stubs/readme.md"] == ("", "")
+    assert got["/srv/ws/d1/stubs/f0.ts"] == ("generated", "declared") and got["/srv/ws/d2/src/h0.ts"] == ("", "declared")
