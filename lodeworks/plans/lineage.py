@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one is set only where that is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it names the folder that all executors share")
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodeworks-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -22,3 +25,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint of ``df``: written once to the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of its own on the shared storage, for tables that a query writes and reads again."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
