@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import termcounts as C
+from lodeworks.plans.lineage import scratch
 from lodeworks.tables import load
 
 
@@ -23,8 +24,10 @@ def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "handling_vectors")
     after = C.records(table, "path", "ngrams_json")
     before = C.records(table.filter(F.pmod(F.floor(F.coalesce("indexed_at", F.lit(0)) / 60000), F.lit(2)) == 0), "path", "ngrams_json")
-    state = C.merge(C.merge(None, C.deltas(C.changes(None, before))), C.deltas(C.changes(before, after)))
-    return state.filter(F.col("term").isNotNull()).select("term", "occurrences", "records")
+    store = C.Store(spark, scratch(spark, "terms"))
+    store.merge(C.deltas(C.changes(None, before)))
+    store.merge(C.deltas(C.changes(before, after)))
+    return store.read().filter(F.col("term").isNotNull()).select("term", "occurrences", "records")
 
 
 def p5_stored_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

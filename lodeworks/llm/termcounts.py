@@ -1,15 +1,18 @@
 """Occurrence and record counts of every term, kept by signed deltas (problem 5).
 
 State: one row per term with ``occurrences`` and ``records``, and one row for the number of all records under the
-null term. A batch of changed records becomes a small table of signed differences, which is merged into the state;
-nothing that did not change is counted again. Starting from no state and taking every record as added counts anew.
+null term, in persistent buckets (``Store``). A batch of changed records becomes a small table of signed differences,
+which is merged into the buckets it touches; nothing that did not change is counted again. Counting anew takes every
+record as added to an empty store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.plans.lineage import cut, scratch
+
 
 def readable_counts(json: Column) -> Column:
     """The map n-gram -> count of a JSON object, null where the text is no whole readable object of terms."""
@@ -37,28 +40,70 @@ def changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
 
 
 def deltas(changed: DataFrame) -> DataFrame:
-    """(term, occurrences, records): signed differences per term, and under the null term those of all records."""
-    each = changed.select("sign", F.explode_outer(F.map_entries(readable_counts(F.col("json")))).alias("e"))
-    # the null term counts records: one row per record is added beside its terms
-    times = F.greatest(F.coalesce(F.expr("try_cast(e.value AS BIGINT)"), F.lit(0)), F.lit(0))
-    terms = each.filter(F.col("e").isNotNull()).select(F.col("e.key").alias("term"), (times * F.col("sign")).alias("occurrences"), F.col("sign").cast("long").alias("records"))
-    total = changed.select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("occurrences"), F.col("sign").cast("long").alias("records"))
-    return _summed(terms.unionByName(total))
+    """(term, occurrences, records): signed differences per term, and under the null term those of all records.
+
+    Each record gives one row for the null term beside those of its terms, so that one reading serves both; rows are
+    summed before they are shuffled.
+    """
+    entries = F.map_entries(readable_counts(F.col("json")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("0").alias("value")))
+    each = changed.select("sign", F.inline(F.concat(whole, F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))))
+    times = F.greatest(F.coalesce(F.expr("try_cast(value AS BIGINT)"), F.lit(0)), F.lit(0))
+    return _summed(each.select(F.col("key").alias("term"), (times * F.col("sign")).alias("occurrences"), F.col("sign").cast("long").alias("records")))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def merge(state: DataFrame | None, delta: DataFrame) -> DataFrame:
-    """The state after ``delta``; terms whose record count falls to zero leave it."""
-    out = delta if state is None else _summed(state.select("term", "occurrences", "records").unionByName(delta))
-    return out.filter((F.col("records") > 0) | F.col("term").isNull())
+class Store:
+    """Counts that last, below a shared folder: ``version=n/bucket=b``, a term's bucket being a hash of it.
 
+    A merge reads and rewrites the buckets that the delta touches and leaves the others where they are; of each bucket
+    its newest complete version holds. A version counts once its write has ended, so a lost job changes nothing.
+    Terms whose count fell to zero stay as rows of zero, which keep an emptied bucket from being taken for its past.
+    """
 
-def save(state: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Persist the state under ``folder``, partitioned by a hash of the term so that a later merge reads like with like."""
-    state.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+
+    def _versions(self) -> tuple[dict[int, int], int]:
+        """(bucket -> newest complete version, highest version begun); a listing of folders, bounded by buckets times versions."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        newest: dict[int, int] = {}
+        highest = 0
+        for v in files.listStatus(path) if files.exists(path) else ():
+            if not v.getPath().getName().startswith("version="):
+                continue
+            highest = max(highest, int(v.getPath().getName().split("=")[1]))
+            if files.exists(jvm.org.apache.hadoop.fs.Path(v.getPath(), "_SUCCESS")):
+                n = int(v.getPath().getName().split("=")[1])
+                for b in files.listStatus(v.getPath()):
+                    if (name := b.getPath().getName()).startswith("bucket="):
+                        newest[int(name.split("=")[1])] = max(n, newest.get(int(name.split("=")[1]), 0))
+        return newest, highest
+
+    def _read(self, newest: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.folder}/version={n}/bucket={b}" for b, n in sorted(newest.items())]
+        return self.spark.read.schema("term string, occurrences long, records long").parquet(*paths) if paths else None
+
+    def read(self) -> DataFrame:
+        """(term, occurrences, records) as they are now; the null term counts all records."""
+        found = self._read(self._versions()[0])
+        return self.spark.createDataFrame([], "term string, occurrences long, records long") if found is None else found.filter((F.col("records") > 0) | F.col("term").isNull())
+
+    def merge(self, delta: DataFrame) -> None:
+        """Adds signed differences to the counts, bucket by bucket."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        newest, highest = self._versions()
+        if newest:
+            delta = cut(delta)
+            touched = [r[0] for r in delta.select(bucket.alias("b")).distinct().collect()]
+            old = self._read({b: n for b, n in newest.items() if b in touched})
+            delta = _summed(delta if old is None else old.unionByName(delta))
+        delta.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/version={highest + 1}")
 
 
 def marked(state: DataFrame, common_above: float = 0.1) -> DataFrame:
@@ -74,5 +119,7 @@ def marked(state: DataFrame, common_above: float = 0.1) -> DataFrame:
 
 
 def count_terms(table: DataFrame, key: str = "path", json: str = "ngrams_json") -> DataFrame:
-    """Counted anew: every record of ``table`` taken as added to an empty state. An empty table gives an empty result."""
-    return merge(None, deltas(changes(None, records(table, key, json))))
+    """Counted anew: every record of ``table`` taken as added to an empty store. An empty table gives an empty result."""
+    store = Store(table.sparkSession, scratch(table.sparkSession, "terms"))
+    store.merge(deltas(changes(None, records(table, key, json))))
+    return store.read()

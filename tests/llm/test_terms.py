@@ -53,10 +53,30 @@ def test_deltas_equal_counting_anew(spark, tmp_path):
     old = [(f"p{i}", make()) for i in range(40)]
     new = [(k, make() if i % 3 == 0 else j) for i, (k, j) in enumerate(old) if i % 7] + [(f"n{i}", make()) for i in range(9)]
     b, a = (C.records(spark.createDataFrame(rows(x), SCHEMA), "path", "ngrams_json") for x in (old, new))
-    s = C.merge(None, C.deltas(C.changes(None, b)))
-    C.save(s, str(tmp_path / "s"))
-    merged = C.merge(spark.read.parquet(str(tmp_path / "s")), C.deltas(C.changes(b, a)))
-    assert state(merged) == brute(new)
+    store = C.Store(spark, str(tmp_path / "s"), 4)
+    store.merge(C.deltas(C.changes(None, b)))
+    assert state(store.read()) == brute(old)
+    store.merge(C.deltas(C.changes(b, a)))
+    assert state(store.read()) == brute(new)
+
+
+def test_a_merge_touches_only_its_buckets(spark, tmp_path):
+    store = C.Store(spark, str(tmp_path / "s"), 16)
+    delta = lambda *r: spark.createDataFrame(list(r), "term string, occurrences long, records long")
+    store.merge(delta(*[(f"t{i}", 1, 1) for i in range(60)], (None, 0, 5)))
+    store.merge(delta(("t3", -1, -1), ("new", 2, 1)))
+    assert 1 <= len(list((tmp_path / "s" / "version=2").glob("bucket=*"))) <= 2
+    got = state(store.read())
+    assert "t3" not in got and got["new"] == (2, 1) and got[None] == (0, 5) and len(got) == 61
+    (tmp_path / "s" / "version=3" / "bucket=1").mkdir(parents=True)  # a write that was lost
+    assert state(store.read()) == got
+    store.merge(delta(("t4", 1, 0)))
+    assert state(store.read())["t4"] == (2, 1)
+    empty = C.Store(spark, str(tmp_path / "e"))
+    empty.merge(delta(("a", 1, 1)).limit(0))
+    assert state(empty.read()) == {}
+    empty.merge(delta(("a", 1, 1)))
+    assert state(empty.read()) == {"a": (1, 1)}
 
 
 def test_marks(spark):
