@@ -2,7 +2,8 @@
 
 The unit of work is a *state*: the value an entity had from some moment on. States of one entity are numbered
 consecutively without ever bringing a whole entity into one task, and neighbouring states meet in a null-safe
-full outer join on (entity, number), whose keys spread evenly however hot one entity is.
+full outer join on (entity, number), whose keys spread evenly however hot one entity is. The end of a period is the
+lead of the next event.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows of one key that a single task orders; a key with more is cut into ranges of its leading order column.
-CHUNK = 200_000
+from lodeworks.plans.lineage import cut
+
+#: Rows of one key that a single task orders; a key with more is cut into ranges of its leading order column, so many at most.
+CHUNK, MOST_PIECES = 200_000, 1_024
 
 
 def _same(names: list[str]) -> Column:
@@ -27,31 +30,53 @@ def _prefixed(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"_r_{k}" for k in names})
 
 
-def numbered(df: DataFrame, keys: list[str], by: str, then: list[str], name: str = "n", chunk: int = CHUNK) -> DataFrame:
+def _at(df: DataFrame, by: str) -> Column:
+    """The order column as a number; null comes first."""
+    timed = isinstance(df.schema[by].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return F.coalesce(F.col(by).cast("timestamp").cast("double") if timed else F.col(by).cast("double"), F.lit(float("-1e300")))
+
+
+def pieces(df: DataFrame, keys: list[str], by: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None]:
+    """(``df`` with ``_piece``, sizes): keys with more than ``chunk`` rows cut into ranges of ``by`` that hold about as many rows each.
+
+    The cuts are quantiles of the key's own values, so that a burst is cut as finely as it is dense; rows of a key that
+    agree in ``by`` stay together. ``sizes`` has the hot keys' pieces with their rows, the rows before them and the
+    ``by`` that the next piece begins with; None where no key is hot. ``df`` should be stored, as it is read again.
+    """
+    count = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > chunk)
+    hot = cut(count.select(*keys, F.least(F.ceil(F.col("_rows") / F.lit(chunk)), F.lit(MOST_PIECES)).cast("int").alias("_pieces")))
+    if hot.isEmpty():
+        return df.withColumn("_piece", F.lit(0)), None
+    spot = df.withColumn("_at", _at(df, by))
+    mine = _prefixed(hot, keys)
+    marks = spot.join(mine, _same(keys)).groupBy(*keys).agg(F.percentile_approx("_at", [i / MOST_PIECES for i in range(1, MOST_PIECES)], 100 * MOST_PIECES).alias("_marks"), F.max("_pieces").alias("_pieces"))
+    # of the marks at all quantiles every one at a multiple of 1 / _pieces is a cut
+    cuts = cut(marks.select(*keys, F.expr(f"transform(sequence(1, _pieces - 1), i -> _marks[cast(floor(i * {MOST_PIECES} / _pieces) as int) - 1])").alias("_cuts")))
+    cut_up = spot.join(_prefixed(cuts, keys), _same(keys), "left").withColumn("_piece", F.coalesce(F.expr("size(filter(_cuts, c -> c < _at))"), F.lit(0)))
+    sized = cut_up.filter(F.col("_cuts").isNotNull()).groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"), F.min(by).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_piece")
+    sizes = sized.select(*keys, "_piece", (F.sum("_size").over(w) - F.col("_size")).alias("_shift"), F.lead("_first").over(w).alias("_next"))
+    return cut_up.select(*df.columns, "_piece"), sizes
+
+
+def numbered(df: DataFrame, keys: list[str], by: str, then: list[str], name: str = "n", chunk: int = CHUNK, follow: str | None = None) -> DataFrame:
     """``df`` with consecutive numbers (from 1) per ``keys`` in the order of ``by`` (a timestamp or number) and ``then``.
 
-    Keys with more than ``chunk`` rows are split at equal distances of ``by``; the pieces are numbered apart and
-    shifted by the sizes of the pieces before them. Null keys form one group; null ``by`` sorts first.
-    Expects the columns ``keys + [by] + then`` to identify a row, else equal rows are numbered in any order.
+    With ``follow`` also the ``by`` of the row that comes next, null for the last of a key. Keys with more than
+    ``chunk`` rows are ordered in ``pieces``, apart; numbers are shifted by the pieces before, and the last row of a
+    piece is followed by the first of the next. Null keys form one group; null ``by`` sorts first. Expects the
+    columns ``keys + [by] + then`` to identify a row, else equal rows are numbered in any order.
     """
-    kind = df.schema[by].dataType
-    at = F.coalesce(F.col(by).cast("timestamp").cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(by).cast("double"), F.lit(float("-1e300")))
-    spot = df.withColumn("_at", at)
-    hot = (
-        spot.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(F.when(F.col("_at") > -1e299, F.col("_at"))).alias("_low"), F.max("_at").alias("_high"))
-        .filter(F.col("_rows") > chunk)
-        .withColumn("_pieces", F.ceil(F.col("_rows") / F.lit(chunk)))
-    )
-    share = (F.col("_at") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-6))
-    piece = F.when(F.col("_pieces").isNull() | (F.col("_at") < F.col("_low")), 0).otherwise(F.least(F.floor(share * F.col("_pieces")), F.col("_pieces") - 1)).cast("int")
-    cut = spot.join(_prefixed(hot, keys), _same(keys), "left").select(*spot.columns, "_pieces", piece.alias("_piece"))
-    order = [F.asc_nulls_first(c) for c in [by, *then]]
-    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order)))
-    sizes = cut.filter(F.col("_pieces").isNotNull()).groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select(*keys, "_piece", (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_piece")) - F.col("_size")).alias("_shift"))
-    out = local.join(_prefixed(before, [*keys, "_piece"]), _same([*keys, "_piece"]), "left")
-    return out.select(*df.columns, (F.col("_n") + F.coalesce("_shift", F.lit(0))).cast("long").alias(name))
+    held, sizes = pieces(cut(df), keys, by, chunk)
+    w = Window.partitionBy(*keys, "_piece").orderBy(*[F.asc_nulls_first(c) for c in [by, *then]])
+    local = held.withColumn("_n", F.row_number().over(w))
+    if follow:
+        local = local.withColumn(follow, F.lead(by).over(w)).withColumn("_last", F.lead(F.lit(False), 1, True).over(w))
+    if sizes is None:
+        return local.select(*df.columns, F.col("_n").cast("long").alias(name), *([follow] if follow else []))
+    out = local.join(_prefixed(sizes, [*keys, "_piece"]), _same([*keys, "_piece"]), "left")
+    after = [F.when(F.col("_last"), F.col("_next")).otherwise(F.col(follow)).alias(follow)] if follow else []
+    return out.select(*df.columns, (F.col("_n") + F.coalesce("_shift", F.lit(0))).cast("long").alias(name), *after)
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
@@ -85,10 +110,8 @@ def change_events(states: DataFrame, keys: list[str], at: str, attrs: list[str],
 
 def validity(events: DataFrame, keys: list[str], at: str, then: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Change events with ``valid_from``, ``valid_to`` (the next event of the key, null while current) and ``period``."""
-    n = numbered(events, keys, at, then or [], "period", chunk)
-    follow = n.select(*[F.col(k).alias(f"_f_{k}") for k in keys], (F.col("period") - 1).alias("_f_period"), F.col(at).alias("valid_to"))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys]) & (F.col("period") == F.col("_f_period"))
-    return n.join(follow, on, "left").select(*events.columns, "period", F.col(at).alias("valid_from"), "valid_to")
+    n = numbered(events, keys, at, then or [], "period", chunk, "valid_to")
+    return n.select(*events.columns, "period", F.col(at).alias("valid_from"), "valid_to")
 
 
 def history_from_snapshots(snapshots: DataFrame, keys: list[str], at: str, attrs: list[str], dates: list, chunk: int = CHUNK) -> DataFrame:
