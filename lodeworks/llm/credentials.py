@@ -1,7 +1,7 @@
 """Credentials in source and configuration text: found, located by byte and blanked out in place (problem 6).
 
-A text is parsed into *settings*: key path, value and the value's byte range. JSON, YAML, env and ini texts are read
-into key paths (``settings``), of which any name may be sensitive; assignments and keyword arguments of the usual languages, headers and bare addresses all give settings. A setting
+A text is parsed into *settings*: key path, value and the value's byte range. JSON, YAML, TOML, env, ini and XML texts
+are read into key paths (``settings``), of which any name may be sensitive; assignments and keyword arguments of the usual languages, headers and bare addresses all give settings. A setting
 counts as a credential by the shape of its value (prefix of a known issuer, PEM head, signed token, address with
 a password) or by a sensitive key name joined with a value that could be used as it stands.
 """
@@ -58,6 +58,8 @@ _SETTING = re.compile(
     re.M,
 )
 _PROSE = re.compile(r"(?i)\b(?P<key>pass(?:word|phrase|wd|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[ _\-]?key)\b(?:[ \t]+(?:for|of|on|at|to)[ \t]+[\w.\-]+(?:[ \t]+[\w.\-]+)?)?[ \t]*(?:is|was|=|:|->|→)[ \t]*(?P<v>[^\s\"'`,;()]{6,})")
+#: A sensitive word with the value right behind it, as remarks have it.
+_ADJACENT = re.compile(r"(?i)(?P<verb>\b(?:use|using|try|enter|type|set)[ \t]+(?:the[ \t]+)?)?\b(?P<key>pass(?:word|phrase|wd|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[ _\-]?key)[ \t]+(?P<v>(?=[^\s\"'`,;()]*\d)[^\s\"'`,;()]{8,})")
 #: Words that make a name sensitive; the second set only beside a value that is random.
 _STRONG = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode", "secret", "apikey", "credential", "credentials"}
 _WEAK = {"token", "key", "auth", "authorization", "access", "signing", "jwt", "bearer", "pat", "webhook", "hook", "salt", "cookie", "private", "session"}
@@ -65,7 +67,7 @@ _NAMES_ONLY = {"field", "name", "count", "ref", "url", "uri", "path", "id", "has
 _HOLDS = {"accesskeyid", "keyid", "accessid"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _FAKE = re.compile(
-    r"(?i)^(?:[x*.#•\-_?0]+|.*(?:\*{3,}|x{6,}|\.{3,}).*|<.*>|\[.*\]|\{.*\}|\$\{?.*|%.*%|.*\$\{.*|.*\{\{.*|.*[{<][a-z_. ]+[}>].*|your[_\-]?.*|my[_\-].*|(?:.*[^a-z0-9])?(?:example|placeholder|changeme|change[_\-]me|redacted|replace|dummy|sample|todo|insert|not[_\-]?set|foobar)(?:[^a-z0-9].*)?|null|none|nil|undefined|true|false|test|password|secret|token|admin|string|required|optional|default|empty|unset|hidden|n/?a|tbd)$"
+    r"(?i)^(?:[x*.#•\-_?0]+|.*(?:\*{3,}|x{6,}|\.{3,}).*|<.*>|\[.*\]|\{.*\}|\$\{?.*|%.*%|.*\$\{.*|.*\{\{.*|.*[{<][a-z_. ]+[}>].*|your[_\-]?.*|my[_\-][a-z_\-]*|(?:.*[^a-z0-9])?(?:example|placeholder|changeme|change[_\-]me|redacted|replace|dummy|sample|todo|insert|not[_\-]?set|foobar)(?:[^a-z0-9].*)?|null|none|nil|undefined|true|false|test|password|secret|token|admin|string|required|optional|default|empty|unset|hidden|n/?a|tbd)$"
 )
 _STORE = re.compile(r"(?i)^(?:vault|env|secretsmanager|ssm|kms|arn|keyring|secret|file|op|gcp|azure|k8s|ref|sops|config|process|os|data|sha\d+|md5)[:.#/]|^(?:https?|s3|gs)://|^sha(?:1|256|384|512)-|^data:|^(?:process\.env|os\.environ|import\.meta)")
 _HEXID = re.compile(r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$", re.I)
@@ -99,7 +101,7 @@ def _random(v: str) -> bool:
 
 def _password_like(v: str) -> bool:
     """Any value of a password that is not a plain word or path made of words."""
-    if len(v) < 6 or len(v) > 200 or " " in v:
+    if len(v) < 6 or " " in v:
         return False
     letters = re.fullmatch(r"[A-Za-z]+(?:[_\-./ :][A-Za-z]+)*", v)
     return not letters and not re.fullmatch(r"\d{1,7}", v)
@@ -194,7 +196,7 @@ def scan(text: str) -> list[Finding]:
             continue
         if not any(a < end and start < b for a, b in hits):
             hits[start, end] = ("setting", m["key"])
-    if _OUTER.search(low) or any(kind == "setting" for kind, _ in hits.values()):
+    if _OUTER.search(low) or ("</" in low or "/>" in low) and _HINT.search(low) or any(kind == "setting" for kind, _ in hits.values()):
         for path, start, end in S.settings(text):
             name = ".".join(path)
             if (start, end) in hits:
@@ -210,7 +212,13 @@ def scan(text: str) -> list[Finding]:
                 continue
             if not any(a < end and start < b for a, b in hits):
                 hits[start, end] = ("setting", name)
-    prose = _PROSE.finditer(text) if any(w in low for w in ("pass", "pwd", "secret", "token", "key", "credential")) else ()
+    near = any(w in low for w in ("pass", "pwd", "secret", "token", "key", "credential"))
+    for m in _ADJACENT.finditer(text) if near else ():
+        value, start = m["v"].rstrip("."), m.start("v")
+        mixed = _random(value) and re.search("[a-z]", value) and re.search("[A-Z]", value)
+        if usable(value) and (mixed or m["verb"] and _password_like(value) and re.search(r"\d\d", value)) and not any(a < start + len(value) and start < b for a, b in hits):
+            hits[start, start + len(value)] = ("remark", m["key"])
+    prose = _PROSE.finditer(text) if near else ()
     for m in prose:
         value = m["v"].rstrip(".")
         start = m.start("v")

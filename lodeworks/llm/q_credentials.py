@@ -24,9 +24,13 @@ def p6_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions whose content changes when its credentials are blanked out, with the new content."""
-    out = C.redacted(load(spark, sf_dir, "versions").filter(F.col("content").isNotNull()).select("id", "content"), "content")
-    return out.filter(F.col("redacted") != F.col("content")).select("id", "redacted").distinct()
+    """Records whose text changes when its credentials are blanked out, with the new text; repeated rows once."""
+    parts = []
+    for table, key, text in (("versions", "id", "content"), ("handling_vectors", "path", "content_snippet")):
+        rows = spread(load(spark, sf_dir, table).filter(F.col(text).isNotNull()).select(F.col(key).alias("record_key"), F.col(text).alias("text")))
+        out = C.redacted(rows, "text").filter(F.col("redacted") != F.col("text"))
+        parts.append(out.select(F.lit(table).alias("record_table"), "record_key", "redacted"))
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 QUERIES = {"p6_found": p6_found, "p6_by_kind": p6_by_kind, "p6_redacted": p6_redacted}

@@ -1,4 +1,4 @@
-"""Key paths with offsets from configuration text: JSON, YAML, ini and env, whole or as an excerpt (problem 6).
+"""Key paths with offsets from configuration text: JSON, YAML, ini, TOML, env, properties and XML, whole or as an excerpt (problem 6).
 
 Nothing is refused: what is not of these formats ends the open path, and reading goes on behind it.
 """
@@ -229,10 +229,49 @@ def lines(text: str) -> list[Setting]:
     return out if code else out + unsure
 
 
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?P<end>/)?(?P<name>[A-Za-z_][\w:.\-]*)(?P<attributes>(?:\s++[\w:.\-]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+)\s*+(?P<alone>/)?>""", re.S)
+_ATTRIBUTE = re.compile(r"""(?P<name>[\w:.\-]+)\s*=\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)')""")
+
+
+def markup(text: str) -> list[Setting]:
+    """Settings of XML: the text of an element without children below its names, and attributes; ``name="x" value="y"`` names y."""
+    out: list[Setting] = []
+    path: list[str] = []
+    begun = -1  # where the text of the innermost element begins, while it has no child
+    for m in _TAG.finditer(text):
+        if m["name"] is None:
+            continue
+        if m["end"]:
+            if m["name"] in path:
+                body = text[begun : m.start()] if begun >= 0 and path[-1] == m["name"] else ""
+                if body.strip():
+                    inner = re.fullmatch(r"\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*", body, re.S)
+                    out.append(Setting(tuple(path), begun + inner.start(1), begun + inner.end(1)))
+                while path.pop() != m["name"]:
+                    pass
+            begun = -1
+            continue
+        named, held = None, []
+        for x in _ATTRIBUTE.finditer(text, m.start("attributes"), m.end("attributes")):
+            part = "d" if x["d"] is not None else "s"
+            if x["name"].lower() in _NAMES:
+                named = x[part]
+            held.append((x["name"], x.start(part), x.end(part)))
+        for name, start, end in held:
+            if name.lower() not in _NAMES:
+                out.append(Setting((*path, m["name"], *([named] if named and name.lower() in _VALUES else []), name), start, end))
+        if not m["alone"]:
+            path.append(m["name"])
+            begun = m.end()
+        else:
+            begun = -1
+    return out
+
+
 def settings(text: str) -> list[Setting]:
     """The settings of a text in order; of two readings of a value the one with the longer path stands."""
     best: dict[int, Setting] = {}
-    for s in [*flow(text)[0], *lines(text)]:
+    for s in [*flow(text)[0], *lines(text), *(markup(text) if "</" in text or "/>" in text else ())]:
         if s.start not in best or len(s.path) > len(best[s.start].path):
             best[s.start] = s
     return sorted(best.values(), key=lambda s: s.start)

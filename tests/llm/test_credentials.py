@@ -78,3 +78,20 @@ def test_sensitive_names_above_the_value():
 def test_outer_names_say_nothing_of_described_or_unusable_values():
     for text in ['{"credentials": {"username": "svc-ledger-01", "region": "us-east-1"}}', "secrets:\n  primary: ${DB_PASSWORD}\n", '{"tokenAgent": ["vector", "claim"]}', 'const tokenData = [\n  "Zx81kQ0vTq7LmN2eZx81",\n];\n', 'tokens_of = [\n  "Zx81kQ0vTq7LmN2eZx81",\n]\nprint(tokens_of)\n', "env:\n  - name: DB_HOST\n    value: Zx81kQ0vTq7LmN2e\n", "credentials:\n  size: 3\nprimary: Zx81kQ0vTq7LmN2e\n", "[credentials]\nlevel = 3\n[other]\nprimary = Zx81kQ0vTq7LmN2e\n"]:
         assert C.scan(text) == [], text
+
+
+def test_xml_attributes_and_remarks():
+    value = "Zx81kQ99aaBcDe7f"
+    for text, key in [
+        (f"<config>\n  <password>\n    {value}\n  </password>\n</config>", "config.password"),
+        (f'<add key="ApiToken" value="{value}" />', "add.ApiToken.value"),
+        (f'<beans><property name="db.password" value="{value}"/></beans>', "beans.property.db.password.value"),
+        (f"<auth><secret><![CDATA[{value}]]></secret></auth>", "auth.secret"),
+    ]:
+        found = C.scan(text)
+        assert [(f.key, text.encode()[f.start : f.end].decode()) for f in found] == [(key, value)], text
+        assert value not in C.redact(text) and C.redact(text).count("\n") == text.count("\n")
+    assert C.scan('<input type="password" name="password" value=""/><a href="x">token</a>') == []
+    assert [f.kind for f in C.scan("// use passphrase Maple-Rocket1917! until the vault is up")] == ["remark"]
+    assert C.scan("// the token bucket-limiter2 is small, use password fields") == []
+    assert len(C.scan('password = "my-Zx81kQ99aa"')) == 1 and C.scan('password = "my-secret-password"') == []
