@@ -15,6 +15,7 @@ import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,23 +133,21 @@ def pack(spark: SparkSession, items: DataFrame, capacity: int, chunk: int = 50_0
     shift = sizes.select(F.col("size").alias("_s"), F.col("bucket").alias("_b"), (F.sum("count").over(Window.partitionBy("size").orderBy("bucket")) - F.col("count")).alias("shift"))
     ranked = local.join(shift, (F.col("size") == F.col("_s")) & (F.col("bucket") == F.col("_b"))).select("id", "part", "start", "size", (F.col("n") + F.col("shift")).alias("rank"))
     placed, _ = plan(counts, capacity)
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for size, first, _, number in placed:
-        runs[size].append((first, number))
-    edges = {s: ([a for a, _ in sorted(r)], [c for _, c in sorted(r)]) for s, r in runs.items()}
+    # one sorted key for (size, rank): a size has fewer pieces than 2 ** 44
+    edges = np.array(sorted(((s << 44) + first, number) for s, first, _, number in placed), np.int64)
 
     @F.pandas_udf("long")
     def container(size: pd.Series, rank: pd.Series) -> pd.Series:
-        out = []
-        for s, r in zip(size, rank):
-            firsts, numbers = edges[s]
-            k = bisect.bisect_right(firsts, r) - 1
-            out.append(numbers[k] + r - firsts[k])
-        return pd.Series(out, dtype="int64")
+        key = (size.to_numpy(np.int64) << 44) + rank.to_numpy(np.int64)
+        k = np.searchsorted(edges[:, 0], key, "right") - 1
+        return pd.Series(edges[k, 1] + key - edges[k, 0])
 
     return ranked.select(container("size", "rank").alias("container"), "id", "part", "start", "size")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Documents packed by their tokens."""
-    return pack(docs.sparkSession, pieces(token_counts(docs, key, text, tokenizer), capacity), capacity)
+    """Documents packed by their tokens; one without tokens takes no room and comes with a null container."""
+    counted = cut(token_counts(docs, key, text, tokenizer))
+    packed = pack(docs.sparkSession, pieces(counted, capacity), capacity)
+    none = counted.filter("tokens = 0").select(F.lit(None).cast("long").alias("container"), "id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("size"))
+    return packed.unionByName(none)

@@ -15,7 +15,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens, unused tokens and the least number of containers that could hold them."""
-    per = p8_packed(spark, sf_dir).groupBy("container").agg(F.sum("size").alias("used"))
+    per = p8_packed(spark, sf_dir).filter("container IS NOT NULL").groupBy("container").agg(F.sum("size").alias("used"))
     t = per.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
     return t.select("containers", "tokens", "fullest", (F.col("containers") * P.CAPACITY - F.col("tokens")).alias("unused"), F.ceil(F.col("tokens") / P.CAPACITY).alias("at_least"))
 
