@@ -59,7 +59,7 @@ _SETTING = re.compile(
 )
 _PROSE = re.compile(r"(?i)\b(?P<key>pass(?:word|phrase|wd|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[ _\-]?key)\b(?:[ \t]+(?:for|of|on|at|to)[ \t]+[\w.\-]+(?:[ \t]+[\w.\-]+)?)?[ \t]*(?:is|was|=|:|->|→)[ \t]*(?P<v>[^\s\"'`,;()]{6,})")
 #: A sensitive word with the value right behind it, as remarks have it.
-_ADJACENT = re.compile(r"(?i)(?P<verb>\b(?:use|using|try|enter|type|set)[ \t]+(?:the[ \t]+)?)?\b(?P<key>pass(?:word|phrase|wd|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[ _\-]?key)[ \t]+(?P<v>(?=[^\s\"'`,;()]*\d)[^\s\"'`,;()]{8,})")
+_ADJACENT = re.compile(r"(?i)\b(?P<key>pass(?:word|phrase|wd|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[ _\-]?key)[ \t]+(?P<v>(?=[^\s\"'`,;()]*\d)[^\s\"'`,;()]{8,})")
 #: Words that make a name sensitive; the second set only beside a value that is random.
 _STRONG = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode", "secret", "apikey", "credential", "credentials"}
 _WEAK = {"token", "key", "auth", "authorization", "access", "signing", "jwt", "bearer", "pat", "webhook", "hook", "salt", "cookie", "private", "session"}
@@ -74,6 +74,9 @@ _HEXID = re.compile(r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-
 _CALL = re.compile(r"^[A-Za-z_][\w.]*\s*[(\[]|^[a-z_]\w*(?:\.\w+)+$|^@\w")
 #: A setting's key holds one of these.
 _HINT = re.compile(r"pass|pw|secret|token|key|auth|cred|bearer|access|private|signing|jwt|hook|salt|cookie|session|pat(?![a-z])")
+_VERB = re.compile(r"(?i)\b(?:use|using|try|enter|type|set)[ \t]+(?:the[ \t]+)?$")
+#: A tag that names something sensitive.
+_TAGGED = re.compile(rf"<(?=[a-z_])[^<>]*(?:{_HINT.pattern})[^<>]*>")
 #: A name that says what its value is, so that a sensitive name further out says nothing of it.
 _DESCRIBES = {"user", "username", "login", "email", "mail", "owner", "account", "host", "hostname", "server", "endpoint", "domain", "port", "region", "zone", "database", "db", "schema", "version", "mode", "algorithm", "alg", "kind", "created", "updated", "rotated", "issued", "expires", "date", "time", "timestamp", "provider", "issuer", "audience", "scope", "namespace", "title", "description", "note", "comment", "status", "state", "size", "level"}
 #: A sensitive name that opens a mapping, a list, a section or a block, or names the value beside it.
@@ -196,8 +199,13 @@ def scan(text: str) -> list[Finding]:
             continue
         if not any(a < end and start < b for a, b in hits):
             hits[start, end] = ("setting", m["key"])
-    if _OUTER.search(low) or ("</" in low or "/>" in low) and _HINT.search(low) or any(kind == "setting" for kind, _ in hits.values()):
-        for path, start, end in S.settings(text):
+    told: list[S.Setting] = []
+    if _OUTER.search(low) or any(kind == "setting" for kind, _ in hits.values()):
+        told = S.settings(text)
+    elif ("</" in low or "/>" in low) and _TAGGED.search(low):
+        told = S.markup(text)
+    if told:
+        for path, start, end in told:
             name = ".".join(path)
             if (start, end) in hits:
                 if hits[start, end][0] == "setting":
@@ -216,7 +224,7 @@ def scan(text: str) -> list[Finding]:
     for m in _ADJACENT.finditer(text) if near else ():
         value, start = m["v"].rstrip("."), m.start("v")
         mixed = _random(value) and re.search("[a-z]", value) and re.search("[A-Z]", value)
-        if usable(value) and (mixed or m["verb"] and _password_like(value) and re.search(r"\d\d", value)) and not any(a < start + len(value) and start < b for a, b in hits):
+        if usable(value) and (mixed or _password_like(value) and re.search(r"\d\d", value) and _VERB.search(text, max(0, m.start() - 20), m.start())) and not any(a < start + len(value) and start < b for a, b in hits):
             hits[start, start + len(value)] = ("remark", m["key"])
     prose = _PROSE.finditer(text) if near else ()
     for m in prose:
