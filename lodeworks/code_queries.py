@@ -55,12 +55,14 @@ def unit_branches(spark, sf_dir):
 _NOCALL = "(" + ", ".join(f"'{w}'" for w in C.NO_CALLS) + ")"
 
 
-@query(rf"""WITH {UNITS}, c AS (SELECT file_path, start_line, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(body, '(?:(\w+)\s*\.\s*)?(\w+)\s*\('), lambda c: regexp_replace(c, '[\s(]', '', 'g')), lambda c: regexp_replace(c, '^.*\.', '') NOT IN {_NOCALL}))) AS target FROM u WHERE body IS NOT NULL),
-n AS (SELECT *, count(*) OVER (PARTITION BY file_path, start_line) AS k FROM c) SELECT file_path, start_line, target FROM n WHERE k <= 30""")
+_MATCHES = rf"list_filter(list_transform(regexp_extract_all(body, '{C.CALL}'), lambda c: regexp_replace(c, '[\s(]', '', 'g')), lambda c: regexp_replace(c, '^.*\.', '') NOT IN {_NOCALL})"
+
+
+@query(rf"WITH {UNITS}, c AS (SELECT file_path, start_line, {_MATCHES} AS a FROM u WHERE body IS NOT NULL), d AS (SELECT file_path, start_line, list_filter(a, lambda x, i: list_position(a, x) = i)[1:30] AS a FROM c) SELECT file_path, start_line, unnest(a) AS target FROM d")
 def unit_calls(spark, sf_dir):
-    """Calls found in bodies; bodies with more than thirty distinct ones are left to the capped column."""
-    u = _units(spark, sf_dir).filter("body IS NOT NULL").select("file_path", "start_line", C.calls_in(F.col("body"), 31).alias("c"))
-    return u.filter(F.size("c") <= 30).select("file_path", "start_line", F.explode("c").alias("target"))
+    """The first thirty distinct calls of each body, in the order in which they occur."""
+    u = _units(spark, sf_dir).filter("body IS NOT NULL").select("file_path", "start_line", C.calls_in(F.col("body")).alias("c"))
+    return u.select("file_path", "start_line", F.explode("c").alias("target"))
 
 
 @query(rf"WITH {UNITS} SELECT file_path, start_line, unnest(list_distinct(list_concat(regexp_extract_all(body, ':\s*([A-Z]\w+)', 1), regexp_extract_all(body, '<\s*([A-Z]\w+)', 1)))) AS type FROM u WHERE body IS NOT NULL")
@@ -98,14 +100,55 @@ _MEMBER = "[" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in (
 _TEMPLATE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in C.TEMPLATES.items()) + "}"
 
 
-@query(f"""WITH {UNITS}, m AS (SELECT unnest({_MEMBER}) AS category, floor((length(coalesce(signature, '')) + length(coalesce(input_signature, '')) + length(coalesce(output_signature, '')) + length(array_to_string(side_effects, ',')) + length(array_to_string(call_targets[1:5], ',')) + length(array_to_string(type_dependencies, ','))) / 4 + 0.5) AS cost,
-sha1(file_path || '::' || name || '|' || start_line) AS i FROM u), g AS (SELECT category, count(*) AS instances, CAST(sum(cost) AS BIGINT) AS original_tokens, string_agg(i, chr(10) ORDER BY i) AS l FROM m WHERE category IS NOT NULL GROUP BY category HAVING count(*) >= 2),
-p AS (SELECT *, CAST(floor(length(({_TEMPLATE})[category]) / 4 + 0.5) + instances * 8 AS BIGINT) AS compressed_tokens FROM g)
-SELECT category, instances, original_tokens, compressed_tokens, greatest(0, original_tokens - compressed_tokens) AS savings, substring(sha1(l), 1, 12) AS id FROM p""")
+_DELTAS = """CASE category
+ WHEN 'crud' THEN [CASE WHEN is_async THEN 'async' END, CASE WHEN list_contains(side_effects, 'network-request') THEN 'network-io' END, CASE WHEN list_contains(side_effects, 'filesystem-write') THEN 'disk-io' END, CASE WHEN complexity > 5 THEN 'complexity:' || complexity END]
+ WHEN 'middleware' THEN [CASE WHEN is_async THEN 'async' END, CASE WHEN list_contains(side_effects, 'network-request') THEN 'network-io' END]
+ WHEN 'observer' THEN [class]
+ WHEN 'factory' THEN [CASE WHEN len(type_dependencies) > 0 THEN 'creates:' || array_to_string(type_dependencies, ',') END]
+ WHEN 'strategy' THEN [CASE WHEN is_async THEN 'async' END, CASE WHEN len(call_targets) > 3 THEN 'delegates:' || len(call_targets) END]
+ WHEN 'repository' THEN [CASE WHEN list_contains(side_effects, 'network-request') THEN 'remote-store' END, CASE WHEN list_contains(side_effects, 'filesystem-write') THEN 'local-store' END]
+ WHEN 'service' THEN [class, CASE WHEN len(call_targets) > 0 THEN 'calls:' || len(call_targets) END]
+ WHEN 'controller' THEN [CASE WHEN len(list_filter(call_targets, lambda c: contains(c, 'service') OR contains(c, 'Service'))) > 0 THEN 'delegates-to-service' END]
+ WHEN 'singleton' THEN CAST([] AS VARCHAR[])
+ ELSE [coalesce(input_signature, '') || '\u2192' || coalesce(output_signature, '')] END"""
+INSTANCES = f"""m AS (SELECT *, unnest({_MEMBER}) AS category, CAST(floor((length(coalesce(signature, '')) + length(coalesce(input_signature, '')) + length(coalesce(output_signature, '')) + length(array_to_string(side_effects, ',')) + length(array_to_string(call_targets[1:5], ',')) + length(array_to_string(type_dependencies, ','))) / 4 + 0.5) AS BIGINT) AS cost FROM u),
+inst AS (SELECT category, file_path, name, start_line, list_filter({_DELTAS}, lambda d: d IS NOT NULL) AS deltas, round(least(1.0, 0.8 + CASE WHEN class = category THEN 0.15 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(t, category))) > 0 THEN 0.05 ELSE 0 END), 2)::DOUBLE AS confidence, cost FROM m WHERE category IS NOT NULL),
+mined AS (SELECT category, 'pattern:' || category || ':' || substring(sha1(string_agg(file_path || '::' || name || '|' || array_to_string(deltas, ','), chr(10) ORDER BY file_path || '::' || name || '|' || array_to_string(deltas, ','))), 1, 12) AS id, count(*) AS instances, CAST(sum(cost) AS BIGINT) AS original_tokens,
+ CAST(floor(length(({_TEMPLATE})[category]) / 4 + 0.5) + sum(floor(length(array_to_string(deltas, ',')) / 4 + 0.5) + 8) AS BIGINT) AS compressed_tokens FROM inst GROUP BY category HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {UNITS}, {INSTANCES} SELECT *, CASE WHEN original_tokens > 0 THEN round(compressed_tokens / original_tokens, 6) ELSE 1 END::DOUBLE AS ratio, greatest(0, original_tokens - compressed_tokens) AS savings FROM mined")
 def pattern_mining(spark, sf_dir):
     return C.mined_patterns(_units(spark, sf_dir))
 
 
+@query(f"WITH {UNITS}, {INSTANCES} SELECT category, file_path, name, start_line, array_to_string(deltas, ',') AS deltas, confidence FROM inst")
+def pattern_instances(spark, sf_dir):
+    """Each unit in each category it belongs to, with what sets it apart and the confidence."""
+    return C.pattern_instances(_units(spark, sf_dir)).select("category", "file_path", "name", "start_line", F.array_join("deltas", ",").alias("deltas"), "confidence")
+
+
+@query(f"WITH {UNITS}, {INSTANCES} SELECT count(*) AS patterns, CAST(sum(instances) AS BIGINT) AS instances, CAST(sum(greatest(0, original_tokens - compressed_tokens)) AS BIGINT) AS savings, (SELECT count(*) FROM u) AS units_n, round(((SELECT count(*) FROM u) - sum(instances) + count(*)) / (SELECT count(*) FROM u), 6)::DOUBLE AS ratio FROM mined")
+def pattern_stats(spark, sf_dir):
+    """Patterns, their instances and savings, and the overall ratio of compression."""
+    from lodeworks.plans.lineage import cut
+
+    u = cut(_units(spark, sf_dir))
+    total = u.agg(F.count(F.lit(1)).alias("units_n"))
+    m = C.mined_patterns(u).agg(F.count(F.lit(1)).alias("patterns"), F.sum("instances").alias("instances"), F.sum("savings").alias("savings"))
+    return m.withColumn("units_n", total.scalar()).withColumn("ratio", F.round((F.col("units_n") - F.col("instances") + F.col("patterns")) / F.col("units_n"), 6))
+
+
+@query(f"""WITH {UNITS}, {INSTANCES} SELECT category, 1 AS line_no, 'PATTERN: ' || category || ' pattern (' || instances || ' instances)' AS line FROM mined UNION ALL SELECT category, 2, '  Template: ' || ({_TEMPLATE})[category] FROM mined
+UNION ALL SELECT category, 3, '  Token savings: ~' || greatest(0, original_tokens - compressed_tokens) FROM mined""")
+def pattern_text(spark, sf_dir):
+    """The mined patterns as text: title, template and savings; ``pattern_instances`` has the instances, one a row."""
+    m = C.mined_patterns(_units(spark, sf_dir))
+    template = F.element_at(F.create_map(*[F.lit(x) for kv in C.TEMPLATES.items() for x in kv]), F.col("category"))
+    lines = [F.concat(F.lit("PATTERN: "), "category", F.lit(" pattern ("), F.col("instances").cast("string"), F.lit(" instances)")), F.concat(F.lit("  Template: "), template), F.concat(F.lit("  Token savings: ~"), F.col("savings").cast("string"))]
+    return m.select("category", F.posexplode(F.array(*lines)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+
+
 _TYPES = "types AS (SELECT DISTINCT t.name AS type FROM (SELECT unnest(defined_types) AS t FROM extracted_modules) WHERE t.name IS NOT NULL)"
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeworks.functions import text as T
+from lodeworks.plans.lineage import cut
 
 #: Unit classes by the beginning of the name, in order. Fixed values.
 NAME_CLASSES = (
@@ -27,17 +32,17 @@ EFFECT_TAGS = (("network-request", "network-io"), ("filesystem-write", "disk-io"
 NO_CALLS = "if for while switch catch return throw new typeof instanceof async await const let var function class import export".split()
 #: Mined pattern categories with their template texts. Fixed values.
 TEMPLATES = {
-    "crud": "create, read, update, delete of an entity",
-    "middleware": "handle(request, next)",
-    "observer": "on(event, handler), emit(event, data)",
-    "factory": "create(kind)",
-    "singleton": "getInstance()",
-    "adapter": "adapt(input)",
-    "strategy": "execute(context)",
-    "repository": "find(id), save(entity), delete(id)",
-    "service": "method(params)",
-    "controller": "handle(request, response)",
-    "utility": "fn(input)",
+    "crud": "CRUD<Entity> { create(data): Promise<Entity>; read(id): Promise<Entity>; update(id, data): Promise<Entity>; delete(id): Promise<void> }",
+    "middleware": "Middleware { handle(req, next): Promise<void> }",
+    "observer": "Observer { on(event, handler): void; emit(event, data): void }",
+    "factory": "Factory { create(type): Product }",
+    "singleton": "Singleton { getInstance(): Self }",
+    "adapter": "Adapter { adapt(input): Output }",
+    "strategy": "Strategy { execute(context): Result }",
+    "repository": "Repository<Entity> { findById(id): Promise<Entity>; save(entity): Promise<void>; delete(id): Promise<void> }",
+    "service": "Service { method(params): Promise<Result> }",
+    "controller": "Controller { handleRequest(req, res): Promise<void> }",
+    "utility": "Utility { fn(input): Output } // pure, no side effects",
 }
 #: Name patterns of the categories. Fixed values.
 CATEGORY_NAMES = {
@@ -52,6 +57,12 @@ CATEGORY_NAMES = {
 }
 
 
+#: Branching words and signs of a body, calls, and type names behind a colon or an opening angle. Fixed values.
+BRANCH = r"\b(if|else|for|while|switch|case|catch|&&|\|\||\?\.|try)\b"
+CALL = r"(?:(\w+)\s*\.\s*)?(\w+)\s*\("
+TYPE_AFTER_COLON, TYPE_AFTER_ANGLE = r":\s*([A-Z]\w+)", r"<\s*([A-Z]\w+)"
+
+
 def units(table: DataFrame) -> DataFrame:
     """Units once each, with the plain name after the class and empty arrays for null ones."""
     arrays = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("call_targets", "type_dependencies", "side_effects")}
@@ -73,12 +84,12 @@ def unit_tags(name: Column, effects: Column, calls: Column) -> Column:
 
 def branch_count(body: Column) -> Column:
     """One more than the branching keywords and operators of a body."""
-    return (F.regexp_count(body, F.lit(T.ascii_bounds(r"\b(if|else|for|while|switch|case|catch|&&|\|\||\?\.|try)\b"))) + 1).cast("long")
+    return (F.regexp_count(body, F.lit(T.ascii_bounds(BRANCH))) + 1).cast("long")
 
 
 def calls_in(body: Column, most: int = 30) -> Column:
     """The distinct call targets of a body in order of occurrence, at most ``most``: name or object.name."""
-    raw = F.regexp_extract_all(body, F.lit(r"(?:(\w+)\s*\.\s*)?(\w+)\s*\("), F.lit(0))
+    raw = F.regexp_extract_all(body, F.lit(CALL), F.lit(0))
     clean = F.transform(raw, lambda c: F.regexp_replace(c, r"[\s(]", ""))
     stop = F.array(*[F.lit(w) for w in NO_CALLS])
     return F.slice(F.array_distinct(F.filter(clean, lambda c: ~F.array_contains(stop, F.regexp_replace(c, r"^.*\.", "")))), 1, most)
@@ -86,7 +97,7 @@ def calls_in(body: Column, most: int = 30) -> Column:
 
 def types_in(body: Column) -> Column:
     """The distinct type names after a colon or an opening angle."""
-    return F.array_distinct(F.concat(F.regexp_extract_all(body, F.lit(r":\s*([A-Z]\w+)"), F.lit(1)), F.regexp_extract_all(body, F.lit(r"<\s*([A-Z]\w+)"), F.lit(1))))
+    return F.array_distinct(F.concat(F.regexp_extract_all(body, F.lit(TYPE_AFTER_COLON), F.lit(1)), F.regexp_extract_all(body, F.lit(TYPE_AFTER_ANGLE), F.lit(1))))
 
 
 def classified(table: DataFrame) -> DataFrame:
@@ -94,11 +105,8 @@ def classified(table: DataFrame) -> DataFrame:
     return u.withColumn("class", unit_class(F.col("short"), F.col("side_effects"), F.col("is_async"))).withColumn("tags", unit_tags(F.col("short"), F.col("side_effects"), F.col("call_targets")))
 
 
-def mined_patterns(u: DataFrame) -> DataFrame:
-    """(category, instances, original_tokens, compressed_tokens, savings, id): categories with two units or more.
-
-    The id is the first twelve digits of the SHA-1 over the sorted instances; tokens are a quarter of the length.
-    """
+def pattern_rules() -> list[tuple[Column, str]]:
+    """Which units belong to each mined category; a unit may belong to several."""
     named = {k: F.col("short").rlike(p) for k, p in CATEGORY_NAMES.items()}
     kind, has = F.col("class"), lambda t: F.array_contains("tags", t)
     rules = [
@@ -114,16 +122,91 @@ def mined_patterns(u: DataFrame) -> DataFrame:
         ((kind == "handler") & has("network-io"), "controller"),
         ((kind == "utility") & (F.size("side_effects") == 0), "utility"),
     ]
-    member = T.tagged(rules)
+    return rules
+
+
+def _deltas(category: Column) -> Column:
+    """What sets a unit apart within its category, in order."""
+    calls, effects, kind = F.col("call_targets"), F.col("side_effects"), F.col("class")
+    has = lambda e: F.array_contains(effects, e)
+    slow = F.when(F.coalesce(F.col("is_async"), F.lit(False)), "async")
+    net, disk = F.when(has("network-request"), "network-io"), F.when(has("filesystem-write"), "disk-io")
+    number = lambda label, n: F.concat(F.lit(label), n.cast("string"))
+    passes = F.array(F.concat(F.coalesce("input_signature", F.lit("")), F.lit("\u2192"), F.coalesce("output_signature", F.lit(""))))
+    by = {
+        "crud": F.array(slow, net, disk, F.when(F.col("complexity") > 5, number("complexity:", F.col("complexity")))),
+        "middleware": F.array(slow, net),
+        "observer": F.array(kind),
+        "factory": F.array(F.when(F.size("type_dependencies") > 0, F.concat(F.lit("creates:"), F.array_join("type_dependencies", ",")))),
+        "adapter": passes,
+        "strategy": F.array(slow, F.when(F.size(calls) > 3, number("delegates:", F.size(calls)))),
+        "repository": F.array(F.when(has("network-request"), "remote-store"), F.when(has("filesystem-write"), "local-store")),
+        "service": F.array(kind, F.when(F.size(calls) > 0, number("calls:", F.size(calls)))),
+        "controller": F.array(F.when(F.exists(calls, lambda c: F.contains(c, F.lit("service")) | F.contains(c, F.lit("Service"))), "delegates-to-service")),
+        "utility": passes,
+    }
+    out = F.array().cast("array<string>")
+    for name, value in by.items():
+        out = F.when(category == name, F.array_compact(value)).otherwise(out)
+    return out
+
+
+def pattern_instances(u: DataFrame) -> DataFrame:
+    """(category, file_path, name, start_line, deltas, confidence, cost): each unit in each category it belongs to.
+
+    Confidence is 0.8, and more where the class or a tag bears the category's name; cost is a quarter of the
+    signs of signatures, effects, first five calls and type dependencies.
+    """
     lengths = [F.length(F.coalesce(c, F.lit(""))) for c in ("signature", "input_signature", "output_signature")]
     lengths += [F.length(F.array_join(a, ",")) for a in (F.col("side_effects"), F.slice("call_targets", 1, 5), F.col("type_dependencies"))]
-    cost = F.floor(sum(lengths[1:], lengths[0]) / 4 + 0.5)
-    each = u.select(F.explode(member).alias("category"), cost.alias("cost"), F.concat("file_path", F.lit("::"), "name", F.lit("|"), F.col("start_line").cast("string")).alias("instance"))
-    g = each.groupBy("category").agg(F.count(F.lit(1)).alias("instances"), F.sum("cost").cast("long").alias("original_tokens"), F.array_sort(F.collect_list(F.sha1("instance"))).alias("i")).filter("instances >= 2")
+    cost = F.floor(sum(lengths[1:], lengths[0]) / 4 + 0.5).cast("long")
+    each = u.withColumn("category", F.explode(T.tagged(pattern_rules()))).withColumn("deltas", _deltas(F.col("category")))
+    tagged = F.exists("tags", lambda t: F.contains(t, F.col("category")))
+    confidence = F.least(F.lit(1.0), F.lit(0.8) + F.when(F.col("class") == F.col("category"), 0.15).otherwise(0.0) + F.when(tagged, 0.05).otherwise(0.0))
+    return each.select("category", "file_path", "name", "start_line", "deltas", F.round(confidence, 2).alias("confidence"), cost.alias("cost"))
+
+
+def _fingerprints(instances: DataFrame) -> DataFrame:
+    """(category, id): the SHA-1 over the sorted lines of a category's instances, its first twelve digits.
+
+    The lines of a category are sorted, with spilling, and hashed one after the other; none are gathered.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, out = None, None, []
+        for b in batches:
+            for category, part in b.groupby("category", sort=False):
+                text = "\n".join(part["line"])
+                if category == now:
+                    state.update(b"\n")
+                else:
+                    if now is not None:
+                        out.append((now, state.hexdigest()[:12]))
+                    now, state = category, hashlib.sha1()
+                state.update(text.encode())
+        if now is not None:
+            out.append((now, state.hexdigest()[:12]))
+        yield pd.DataFrame(out, columns=["category", "hash"])
+
+    line = F.concat("file_path", F.lit("::"), "name", F.lit("|"), F.array_join("deltas", ","))
+    rows = instances.select("category", F.coalesce(line, F.lit("")).alias("line")).repartition("category").sortWithinPartitions("category", "line")
+    return rows.mapInPandas(run, "category string, hash string").select("category", F.concat(F.lit("pattern:"), "category", F.lit(":"), "hash").alias("id"))
+
+
+def mined_patterns(u: DataFrame) -> DataFrame:
+    """(category, id, instances, original_tokens, compressed_tokens, ratio, savings): categories with two units or more.
+
+    Tokens are a quarter of the signs; an instance costs eight besides its deltas, its category the template once. The
+    id depends on the instances and their deltas alone.
+    """
+    instances = cut(pattern_instances(u))
+    delta = F.floor(F.length(F.array_join("deltas", ",")) / 4 + 0.5).cast("long") + 8
+    g = instances.groupBy("category").agg(F.count(F.lit(1)).alias("instances"), F.sum("cost").alias("original_tokens"), F.sum(delta).alias("_deltas")).filter("instances >= 2")
     template = F.element_at(F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv]), F.col("category"))
-    packed = (F.floor(F.length(template) / 4 + 0.5) + F.col("instances") * 8).cast("long")
-    out = g.withColumn("compressed_tokens", packed).withColumn("id", F.substring(F.sha1(F.array_join("i", "\n")), 1, 12))
-    return out.select("category", "instances", "original_tokens", "compressed_tokens", F.greatest(F.lit(0).cast("long"), F.col("original_tokens") - F.col("compressed_tokens")).alias("savings"), "id")
+    packed = F.floor(F.length(template) / 4 + 0.5).cast("long") + F.col("_deltas")
+    out = g.withColumn("compressed_tokens", packed).join(_fingerprints(instances).withColumnRenamed("category", "_c"), F.col("category") == F.col("_c"))
+    ratio = F.when(F.col("original_tokens") > 0, F.round(F.col("compressed_tokens") / F.col("original_tokens"), 6)).otherwise(1.0)
+    return out.select("category", "id", "instances", "original_tokens", "compressed_tokens", ratio.alias("ratio"), F.greatest(F.lit(0).cast("long"), F.col("original_tokens") - F.col("compressed_tokens")).alias("savings"))
 
 
 def known_types(u: DataFrame, modules: DataFrame) -> DataFrame:
@@ -193,7 +276,7 @@ def knowledge_edges(u: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def search_exports(modules: DataFrame, name: str) -> DataFrame:
-    """(file_path, export, kind) of exports equal to a name or holding it in any case."""
+    """(file_path, export, kind) of exports equal to a name or holding it in any case; the empty name takes all."""
     e = modules.select("file_path", F.explode("exports").alias("e")).select("file_path", F.col("e.name").alias("export"), "e.kind").distinct()
     return e.filter((F.col("export") == name) | F.contains(F.lower("export"), F.lit(name.lower())))
 
@@ -203,10 +286,11 @@ def ordered_first(table: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return table.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def ask(kind: str, table: DataFrame, modules: DataFrame, paths: list[str] | None = None, classes: list[str] | None = None, most: int | None = None) -> DataFrame:
+def ask(kind: str, table: DataFrame, modules: DataFrame, paths: list[str] | None = None, classes: list[str] | None = None, most: int | None = None, name: str = "") -> DataFrame:
     """One entry to the code index: units, modules, exports, patterns, flows, calls, imports or graph, under common filters.
 
     ``paths`` limits files, ``classes`` unit classes and ``most`` complexity; a bound of 0 counts as a bound.
+    ``name`` limits exports to those that hold it.
     """
     u, m = classified(table), modules
     if paths is not None:
@@ -218,7 +302,7 @@ def ask(kind: str, table: DataFrame, modules: DataFrame, paths: list[str] | None
     answers = {
         "units": lambda: u,
         "modules": lambda: m,
-        "exports": lambda: search_exports(m, ""),
+        "exports": lambda: search_exports(m, name),
         "patterns": lambda: mined_patterns(u),
         "flows": lambda: type_flows(u, known_types(u, m)),
         "calls": lambda: resolved_calls(u),
