@@ -14,15 +14,13 @@ from pyspark.sql.window import Window
 
 #: Words left out of the index. Fixed values.
 STOP_WORDS = tuple(
-    dict.fromkeys(
-        """the a an and or but in on at to for of with by from is it this that are was were be been being have has had do does
+    """the a an and or but in on at to for of with by from is it this that are was were be been being have has had do does
             did will would could should may might can not no nor so if then than too very just about also into over after before
             between through during without within along each every both few more most other some such only own same its our your
             their his her what which who whom when where why how all any get got let make much new now old see way well back even
             because these those there here come made find long look many know take people time hand high keep last give great
             found still under never small right think help line first need while next sure big going start said put end another
             above two""".split()
-    )
 )
 
 #: Shapes of personal data: name, pattern, severity. Fixed values.
@@ -47,6 +45,36 @@ SECRETS = (
     ("payment-key", r"\bsk_live_[A-Za-z0-9]{20,}\b", "critical"),
     ("signed-token", r"\beyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}", "high"),
     ("private-key", r"-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY", "critical"),
+    ("vcs-fine-token", r"\bgithub_pat_[A-Za-z0-9_]{22,}", "critical"),
+    ("vcs-app-token", r"\bgh[usr]_[A-Za-z0-9]{36,}\b", "critical"),
+    ("forge-token", r"\bglpat-[A-Za-z0-9_\-]{20,}", "critical"),
+    ("cloud-session-key", r"\bASIA[A-Z0-9]{16}\b", "critical"),
+    ("cloud-secret-assignment", r"(?i)aws.{0,20}secret.{0,20}[\"'][A-Za-z0-9/+=]{40}[\"']", "critical"),
+    ("maps-key", r"\bAIza[A-Za-z0-9_\-]{35}", "high"),
+    ("oauth-client", r"\bGOCSPX-[A-Za-z0-9_\-]{20,}", "high"),
+    ("account-key", r"AccountKey=[A-Za-z0-9+/=]{40,}", "critical"),
+    ("chat-token", r"\bxox[abeprs]-[A-Za-z0-9\-]{10,}", "high"),
+    ("chat-hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]{20,}", "high"),
+    ("mail-key", r"\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}", "high"),
+    ("mail-service-key", r"\bkey-[0-9a-f]{32}\b", "high"),
+    ("payment-restricted-key", r"\brk_live_[A-Za-z0-9]{20,}\b", "critical"),
+    ("payment-test-key", r"\bsk_test_[A-Za-z0-9]{16,}\b", "medium"),
+    ("payment-access-token", r"\bsq0(atp|csp)-[A-Za-z0-9_\-]{22,}", "critical"),
+    ("shop-token", r"\bshp(at|ca|pa|ss)_[A-Fa-f0-9]{32}\b", "critical"),
+    ("phone-service-key", r"\bSK[0-9a-f]{32}\b", "high"),
+    ("package-token", r"\bnpm_[A-Za-z0-9]{36}\b", "critical"),
+    ("index-token", r"\bpypi-[A-Za-z0-9_\-]{40,}", "critical"),
+    ("image-token", r"\bdckr_pat_[A-Za-z0-9_\-]{20,}", "critical"),
+    ("host-token", r"\bdo[opr]_v1_[a-f0-9]{64}\b", "critical"),
+    ("vault-token", r"\bhvs\.[A-Za-z0-9_\-]{24,}", "critical"),
+    ("model-hub-token", r"\bhf_[A-Za-z0-9]{34,}\b", "high"),
+    ("metrics-key", r"\bNRAK-[A-Z0-9]{27}\b", "high"),
+    ("lakehouse-token", r"\bdapi[a-f0-9]{32}\b", "high"),
+    ("putty-key", r"PuTTY-User-Key-File-[23]:", "critical"),
+    ("file-key", r"\bAGE-SECRET-KEY-1[A-Z0-9]{58}\b", "critical"),
+    ("bearer-header", r"(?i)\bauthorization[\"']?\s*[:=]\s*[\"']?bearer\s+[A-Za-z0-9_\-.=]{20,}", "high"),
+    ("basic-header", r"(?i)\bauthorization[\"']?\s*[:=]\s*[\"']?basic\s+[A-Za-z0-9+/=]{16,}", "high"),
+    ("key-assignment", r"(?i)\b(api|access|secret|private)[_-]?key\w*[\"']?\s*[:=]\s*[\"'][A-Za-z0-9_\-/+=]{20,}[\"']", "medium"),
     ("database-uri", r"\b(postgres|mysql|redis|mongodb(\+srv)?)://[^\s:@/]+:[^\s@/]+@", "high"),
     ("password-assignment", r"(?i)\bpass(word|wd|phrase)\w*[\"']?\s*[:=]\s*[\"'][^\"'\s$*{<]{8,}[\"']", "medium"),
 )

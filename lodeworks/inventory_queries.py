@@ -104,11 +104,15 @@ def unreadable_policies(spark, sf_dir):
     return r.groupBy("policy").agg(F.bool_and(~F.array_contains(F.split("permissions", ","), "read")).alias("closed")).filter("closed").select("policy")
 
 
+#: Messages by score above 0.8, above 0.5 and below. Fixed values.
+COHERENCE = ("File has high coherence (well-isolated)", "File has moderate coupling", "File is highly coupled - consider refactoring")
+
+
 @query(f"""WITH {EDGES}, n AS (SELECT count(DISTINCT src) AS n FROM edges), d AS (SELECT node, count(*) AS c FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node), s AS (SELECT node, CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.0, 1 - c / (n - 1)) END AS score FROM d, n)
-SELECT CASE WHEN score > 0.8 THEN 'loose' WHEN score > 0.5 THEN 'moderate' ELSE 'tight' END AS message, count(*) AS nodes FROM s GROUP BY 1""")
+SELECT CASE WHEN score > 0.8 THEN 'File has high coherence (well-isolated)' WHEN score > 0.5 THEN 'File has moderate coupling' ELSE 'File is highly coupled - consider refactoring' END AS message, count(*) AS nodes FROM s GROUP BY 1""")
 def coherence_messages(spark, sf_dir):
     s = G.coupling(call_edges(spark, sf_dir))
-    return s.groupBy(F.when(F.col("score") > 0.8, "loose").when(F.col("score") > 0.5, "moderate").otherwise("tight").alias("message")).agg(F.count(F.lit(1)).alias("nodes"))
+    return s.groupBy(T.first_label([(F.col("score") > 0.8, COHERENCE[0]), (F.col("score") > 0.5, COHERENCE[1])], COHERENCE[2]).alias("message")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query(f"""WITH {UNITS}, c AS (SELECT unnest(['query', 'command', 'handler', 'utility', 'validation']) AS category) SELECT file_path, start_line, category, round(least(1.0, 0.8 + CASE WHEN class = category THEN 0.15 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(t, category))) > 0 THEN 0.05 ELSE 0 END), 2)::DOUBLE AS confidence FROM u JOIN c ON class = category""")

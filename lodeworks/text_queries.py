@@ -135,19 +135,21 @@ def line_complexity(spark, sf_dir):
     return f.select("path", value.alias("complexity")).filter("complexity IS NOT NULL")
 
 
+#: Imports by family. Fixed values.
 _IMPORTS = {"js": r"""import\s+(?:\{[^}]+\}|\*\s+as\s+\w+|\w+)\s+from\s+['"]([^'"]+)['"]""", "py": r"(?:from|import)\s+([.\w]+)", "java": r"import\s+([^;]+);"}
 
 
 @query("""WITH f AS (SELECT path, content, regexp_extract(path, '\\.([^./]+)$', 1) AS e FROM file_contents WHERE content IS NOT NULL)
-SELECT path, unnest(list_distinct(CASE WHEN e IN ('js', 'ts') THEN regexp_extract_all(content, '""" + _IMPORTS["js"].replace("'", "''") + """', 1) WHEN e = 'java' THEN regexp_extract_all(content, '""" + _IMPORTS["java"] + """', 1) END)) AS imported FROM f WHERE e IN ('js', 'ts', 'java')""")
+SELECT path, unnest(list_distinct(CASE WHEN e IN ('js', 'ts') THEN regexp_extract_all(content, '""" + _IMPORTS["js"].replace("'", "''") + """', 1) WHEN e = 'java' THEN regexp_extract_all(content, '""" + _IMPORTS["java"] + """', 1) ELSE regexp_extract_all(content, '""" + _IMPORTS["py"] + """', 1) END)) AS imported FROM f WHERE e IN ('js', 'ts', 'java', 'py')""")
 def imports_extracted(spark, sf_dir):
     f = load(spark, sf_dir, "file_contents").filter("content IS NOT NULL")
     ext = T.extension(F.col("path"))
-    js = F.regexp_extract_all("content", F.lit(_IMPORTS["js"]), F.lit(1))
-    java = F.regexp_extract_all("content", F.lit(_IMPORTS["java"]), F.lit(1))
-    return f.filter(ext.isin("js", "ts", "java")).select("path", F.explode(F.array_distinct(F.when(ext == "java", java).otherwise(js))).alias("imported"))
+    found = {k: F.regexp_extract_all("content", F.lit(p), F.lit(1)) for k, p in _IMPORTS.items()}
+    each = F.when(ext == "java", found["java"]).when(ext == "py", found["py"]).otherwise(found["js"])
+    return f.filter(ext.isin("js", "ts", "java", "py")).select("path", F.explode(F.array_distinct(each)).alias("imported"))
 
 
+#: Exports of scripts. Fixed value.
 _EXPORT = r"export\s+(?:default\s+)?(?:async\s+)?(class|function|const|let|var|interface|type|enum)\s+(\w+)"
 
 
@@ -179,10 +181,32 @@ def side_effects(spark, sf_dir):
     return load(spark, sf_dir, "file_contents").filter("content IS NOT NULL").select("path", F.explode(tags).alias("tag"))
 
 
+#: What a whole module does, by the index's own tests. Fixed values.
+MODULE_EFFECTS = (
+    (r"console\.(log|warn|error|info)", "console-output"),
+    (r"process\.exit", "process-exit"),
+    (r"fs\.(write|unlink|mkdir|rmdir|rename|append)", "filesystem-write"),
+    (r"fetch\(|axios\.|http\.request", "network-request"),
+    (r"addEventListener|\.on\(", "event-listener"),
+    (r"setInterval|setTimeout", "timer"),
+    (r"new\s+Date\(\)", "datetime-dependency"),
+    (r"Math\.random|crypto\.random", "non-deterministic"),
+)
+
+
+@query("WITH r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULE_EFFECTS) + ") SELECT path, tag FROM file_contents, r WHERE regexp_matches(path, '\\.(js|ts|jsx|tsx)$') AND regexp_matches(content, p)")
+def module_effects(spark, sf_dir):
+    """Effects of whole script modules; other languages have none."""
+    c = F.col("content")
+    rows = load(spark, sf_dir, "file_contents").filter(F.col("path").rlike(r"\.(js|ts|jsx|tsx)$") & c.isNotNull())
+    return rows.select("path", F.explode(T.tagged([(c.rlike(p), t) for p, t in MODULE_EFFECTS])).alias("tag"))
+
+
 #: Shapes of modules: text pattern, and tag. Fixed values.
 MODULES = (
     (r"export\s+default\s+(?:function|class)", "default-export"),
     (r"router\.(get|post|put|delete|patch)", "route-handler"),
+    (r"(?i)middleware|next\(\)", "middleware"),
     (r"\.on\(|\.emit\(|addEventListener", "event-handler"),
     (r"(?i)(create|read|update|delete|find|get|list)(?:ById|One|Many|All)?", "data-access"),
     (r"describe\(|it\(|test\(", "test-module"),
@@ -190,14 +214,18 @@ MODULES = (
 )
 
 
+#: More than five of the first make a barrel; the first of the others without the second, a module of types. Fixed values.
+BARREL = r"(?i)export\s+(?:function|const|class)"
+TYPES_ONLY = (r"export\s+(?:interface|type)\s+\w+", r"export\s+(?:function|class)")
 #: Shapes of modules by the name of their file. Fixed values.
 MODULE_NAMES = (("config|env|constant", "configuration"), ("util|helper|common", "utility"), ("service", "service"), ("controller", "controller"), ("model|entity|schema", "data-model"), ("middleware", "middleware"))
 
 
-@query("WITH f AS (SELECT path, content, lower(regexp_extract(path, '([^/]+)$', 1)) AS name FROM file_contents WHERE regexp_matches(path, '\\.(js|ts)$')), r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULES) + "), n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULE_NAMES) + ") SELECT path, tag FROM f, r WHERE regexp_matches(content, p) UNION SELECT path, tag FROM f, n WHERE content IS NOT NULL AND regexp_matches(name, p)")
+@query("WITH f AS (SELECT path, content, lower(regexp_extract(path, '([^/]+)$', 1)) AS name FROM file_contents WHERE regexp_matches(path, '\\.(js|ts)$')), r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULES) + "), n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tag, '{p}' AS p" for p, t in MODULE_NAMES) + ") SELECT path, tag FROM f, r WHERE regexp_matches(content, p) UNION SELECT path, tag FROM f, n WHERE content IS NOT NULL AND regexp_matches(name, p) UNION SELECT path, 'barrel-module' FROM f WHERE len(regexp_extract_all(content, '" + BARREL + "')) > 5 UNION SELECT path, 'type-definition' FROM f WHERE regexp_matches(content, '" + TYPES_ONLY[0] + "') AND NOT regexp_matches(content, '" + TYPES_ONLY[1] + "')")
 def module_shapes(spark, sf_dir):
     c, name = F.col("content"), F.lower(F.regexp_extract("path", "([^/]+)$", 1))
-    tags = T.tagged([(c.rlike(p), t) for p, t in MODULES] + [(name.rlike(p), t) for p, t in MODULE_NAMES])
+    counted = [(F.regexp_count(c, F.lit(BARREL)) > 5, "barrel-module"), (c.rlike(TYPES_ONLY[0]) & ~c.rlike(TYPES_ONLY[1]), "type-definition")]
+    tags = T.tagged([(c.rlike(p), t) for p, t in MODULES] + [(name.rlike(p), t) for p, t in MODULE_NAMES] + counted)
     return load(spark, sf_dir, "file_contents").filter(F.col("path").rlike(r"\.(js|ts)$") & c.isNotNull()).select("path", F.explode(F.array_distinct(tags)).alias("tag"))
 
 
@@ -226,8 +254,9 @@ def edit_damage(spark, sf_dir):
 
 @query(r"""WITH v AS (SELECT DISTINCT id, seq, file_path, timestamp, content FROM versions WHERE content IS NOT NULL), p AS (SELECT id, content AS b, lag(content) OVER (PARTITION BY file_path ORDER BY timestamp, seq, id) AS a FROM v),
 s AS (SELECT id, a, b, string_split(a, chr(10)) AS x, string_split(b, chr(10)) AS y FROM p WHERE a IS NOT NULL AND a <> b),
-d AS (SELECT id, a, b, x, y, list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i]) AS c FROM s)
-SELECT id, octet_length(encode(b)) - octet_length(encode(a)) AS byte_delta, c[1] AS first_changed, c[-1] AS last_changed, len(y) - len(x) AS line_delta FROM d""")
+d AS (SELECT id, a, b, x, y, list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i])[1] AS f, list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[-i] <> y[-i])[1] AS r FROM s),
+e AS (SELECT *, coalesce(f, least(len(x), len(y)) + 1) AS first_changed, coalesce(r - 1, least(len(x), len(y))) AS tail FROM d)
+SELECT id, octet_length(encode(b)) - octet_length(encode(a)) AS byte_delta, first_changed, greatest(len(y) - tail, first_changed) AS last_changed, greatest(0, len(y) - len(x)) AS lines_added, greatest(0, len(x) - len(y)) AS lines_removed FROM e""")
 def edit_diffs(spark, sf_dir):
     """What each version changed against the version of its file before it that has content."""
     v = load(spark, sf_dir, "versions").filter("content IS NOT NULL").select("id", "seq", "file_path", "timestamp", "content").distinct()
@@ -235,9 +264,12 @@ def edit_diffs(spark, sf_dir):
     was = n.select(F.col("file_path").alias("_f"), (F.col("n") + 1).alias("_n"), F.col("content").alias("a"))
     p = n.join(was, F.col("file_path").eqNullSafe(F.col("_f")) & (F.col("n") == F.col("_n"))).select("id", F.col("content").alias("b"), "a").filter("a <> b")
     s = p.select("id", "a", "b", F.split("a", "\n").alias("x"), F.split("b", "\n").alias("y"))
-    changed = F.filter(F.sequence(F.lit(0), F.greatest(F.size("x"), F.size("y")) - 1), lambda i: ~F.get("x", i).eqNullSafe(F.get("y", i)))
-    d = s.withColumn("c", changed)
-    return d.select("id", (F.octet_length("b") - F.octet_length("a")).cast("long").alias("byte_delta"), (F.get("c", F.lit(0)) + 1).cast("long").alias("first_changed"), (F.element_at("c", -1) + 1).cast("long").alias("last_changed"), (F.size("y") - F.size("x")).cast("long").alias("line_delta"))
+    both = F.sequence(F.lit(1), F.least(F.size("x"), F.size("y")))
+    head = F.get(F.filter(both, lambda i: F.element_at("x", i) != F.element_at("y", i)), F.lit(0))
+    tail = F.get(F.filter(both, lambda i: F.element_at("x", -i) != F.element_at("y", -i)), F.lit(0)) - 1
+    d = s.withColumn("first_changed", F.coalesce(head, F.least(F.size("x"), F.size("y")) + 1)).withColumn("_tail", F.coalesce(tail, F.least(F.size("x"), F.size("y"))))
+    grown = F.size("y") - F.size("x")
+    return d.select("id", (F.octet_length("b") - F.octet_length("a")).cast("long").alias("byte_delta"), F.col("first_changed").cast("long").alias("first_changed"), F.greatest(F.size("y") - F.col("_tail"), F.col("first_changed")).cast("long").alias("last_changed"), F.greatest(F.lit(0), grown).cast("long").alias("lines_added"), F.greatest(F.lit(0), -grown).cast("long").alias("lines_removed"))
 
 
 #: Ordered categories of error messages. Fixed values.
@@ -246,15 +278,53 @@ _ERRORS = (
     ("permission", "permission_denied"),
     ("no space|quota", "disk_full"),
     ("lock|in use", "file_locked"),
+    ("is a directory", "is_directory"),
+    ("not a directory", "not_directory"),
     ("unexpected token|invalid json|corrupt", "data_corruption"),
     ("encoding|decode|utf-8", "encoding_error"),
-    ("connect|network|timeout|timed out", "network_error"),
+    (None, "cache_error"),  # by the component that met the error
+    ("connect|network|timeout", "network_error"),
     ("circular|cycle", "circular_dependency"),
 )
 
 
-@query("SELECT file_path, error_message, CASE " + " ".join(f"WHEN regexp_matches(lower(error_message), '{p}') THEN '{c}'" for p, c in _ERRORS) + " ELSE 'generic_error' END AS category FROM (SELECT DISTINCT file_path, error_message FROM extracted_modules WHERE error_message IS NOT NULL)")
+_COMPONENT = "regexp_extract(file_path, '/([^/]+)/[^/]+$', 1)"
+CATEGORY = "CASE " + " ".join((f"WHEN regexp_matches(lower(error_message), '{p}')" if p else f"WHEN {_COMPONENT} = 'cache'") + f" THEN '{c}'" for p, c in _ERRORS) + " ELSE 'generic_error' END"
+
+
+def error_category(message, component):
+    """The category of an error: the first that its message, or for the cache its component, fits."""
+    return T.first_label([(F.lower(message).rlike(p) if p else component == "cache", c) for p, c in _ERRORS], "generic_error")
+
+
+@query(f"SELECT file_path, error_message, {CATEGORY} AS category FROM (SELECT DISTINCT file_path, error_message FROM extracted_modules WHERE error_message IS NOT NULL)")
 def error_categories(spark, sf_dir):
-    m = F.lower("error_message")
     e = load(spark, sf_dir, "extracted_modules").filter("error_message IS NOT NULL").select("file_path", "error_message").distinct()
-    return e.withColumn("category", T.first_label([(m.rlike(p), c) for p, c in _ERRORS], "generic_error"))
+    return e.withColumn("category", error_category(F.col("error_message"), F.regexp_extract("file_path", "/([^/]+)/[^/]+$", 1)))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT file_path, {CATEGORY} AS category FROM extracted_modules WHERE error_message IS NOT NULL), ok AS (SELECT DISTINCT file_path FROM extracted_modules WHERE error_message IS NULL)
+SELECT category, count(*) AS attempts, CAST(count(ok.file_path) AS BIGINT) AS successes, round(count(ok.file_path) / count(*), 6)::DOUBLE AS success_rate FROM e LEFT JOIN ok ON ok.file_path = e.file_path GROUP BY category""")
+def recovery_stats(spark, sf_dir):
+    """Per category of error the files that met it, and those that a later parse got through."""
+    m = load(spark, sf_dir, "extracted_modules")
+    ok = m.filter("error_message IS NULL").select(F.col("file_path").alias("_ok")).distinct()
+    met = m.filter("error_message IS NOT NULL").select("file_path", error_category(F.col("error_message"), F.regexp_extract("file_path", "/([^/]+)/[^/]+$", 1)).alias("category")).distinct()
+    g = met.join(ok, F.col("file_path") == F.col("_ok"), "left").groupBy("category").agg(F.count(F.lit(1)).alias("attempts"), F.count("_ok").alias("successes"))
+    return g.withColumn("success_rate", F.round(F.col("successes") / F.col("attempts"), 6))
+
+
+#: Languages of the index by extension; files of other kinds are not counted. Fixed values.
+INDEX_LANGUAGES = {
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "go": "go", "rs": "rust", "java": "java", "cs": "csharp", "rb": "ruby", "php": "php",
+    "swift": "swift", "kt": "kotlin", "scala": "scala", "c": "c", "cpp": "cpp", "html": "html", "css": "css", "scss": "scss", "sql": "sql", "json": "json",
+    "yaml": "yaml", "yml": "yaml", "md": "markdown", "sh": "bash",
+}
+_INDEX_LANG = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in INDEX_LANGUAGES.items()) + "}"
+
+
+@query(f"SELECT language, count(*) AS files FROM (SELECT ({_INDEX_LANG})[lower(regexp_extract(path, '\\.([^./\\\\]+)$', 1))] AS language FROM file_contents) WHERE language IS NOT NULL GROUP BY language")
+def index_languages(spark, sf_dir):
+    """Files by language as the index counts them."""
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in INDEX_LANGUAGES.items() for x in kv]), T.extension(F.col("path")))
+    return load(spark, sf_dir, "file_contents").select(name.alias("language")).filter("language IS NOT NULL").groupBy("language").agg(F.count(F.lit(1)).alias("files"))
