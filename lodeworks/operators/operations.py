@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,43 @@ def token_bucket(events: DataFrame, key: str, at: str, capacity: float, per_seco
     return counted.groupBy("key").applyInPandas(walk, BUCKET)
 
 
+LIMITS = "tool string, allowed long, blocked long, refunded long"
+
+
+def two_level_bucket(events: DataFrame, limiter: str, tool: str, at: str, whole: tuple[float, float], each: tuple[float, float], costs: dict[str, int]) -> DataFrame:
+    """(tool, allowed, blocked, refunded) of calls that take from a bucket of all tools, then from one of their own.
+
+    ``whole`` and ``each`` are (capacity, tokens a second); a call costs what ``costs`` says, else one. Where the
+    tool's own bucket cannot pay, what the common one paid is given back. A limiter is sequential in time: calls are
+    counted per second and tool first, so that a task walks seconds, not calls; tools of one second go by name.
+    """
+    counted = events.groupBy(F.col(limiter).cast("string").alias("limiter"), F.floor(F.col(at).cast("timestamp").cast("double")).alias("second"), F.col(tool).cast("string").alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        common, last, own, seen = whole[0], None, {}, {}
+        allowed: Counter = Counter()
+        blocked: Counter = Counter()
+        refunded: Counter = Counter()
+        for second, name, n in rows.sort_values(["second", "tool"])[["second", "tool", "n"]].itertuples(index=False):
+            if last is not None:
+                common = min(whole[0], common + (second - last) * whole[1])
+            last = second
+            mine = min(each[0], own.get(name, each[0]) + (second - seen.get(name, second)) * each[1])
+            seen[name] = second
+            cost = costs.get(name, 1)
+            payable = min(int(n), int(common // cost))
+            take = min(payable, int(mine // cost))
+            common -= take * cost
+            own[name] = mine - take * cost
+            allowed[name] += take
+            blocked[name] += int(n) - take
+            refunded[name] += payable - take
+        names = sorted(own)
+        return pd.DataFrame({"tool": names, "allowed": [allowed[x] for x in names], "blocked": [blocked[x] for x in names], "refunded": [refunded[x] for x in names]})
+
+    return counted.groupBy("limiter").applyInPandas(walk, LIMITS)
+
+
 def health(stats: DataFrame) -> DataFrame:
     """One row with ``healthy`` and ``warnings`` from success_rate, block_rate and hit_rate."""
     w = F.array_compact(F.array(F.when(F.col("success_rate") <= 0.5, "failures"), F.when(F.col("block_rate") >= 0.1, "blocked"), F.when(F.col("hit_rate") < 0.1, "cold cache")))

@@ -207,3 +207,13 @@ def edges_json(edges: DataFrame) -> DataFrame:
 
 def edges_from(table: DataFrame) -> DataFrame:
     return table.select("src", F.explode(F.split("targets", ",")).alias("dst"))
+
+
+def issued(rows: DataFrame, key: str, now: Column) -> DataFrame:
+    """Tokens for ``rows`` (key, role): the hash of what was handed out is kept, never the token."""
+    return rows.select(key, "role", F.sha2(F.col(key).cast("string"), 256).alias("hash"), now.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("revoked_at"))
+
+
+def revoked(tokens: DataFrame, which: Column, now: Column) -> DataFrame:
+    """``tokens`` with those of ``which`` revoked; the first revocation keeps its time."""
+    return tokens.withColumn("revoked_at", F.coalesce("revoked_at", F.when(which, now)))
