@@ -173,12 +173,17 @@ def stack_signatures(spark, sf_dir):
     return m.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.5 + F.col("files") * 0.05), 3))
 
 
-@query("SELECT DISTINCT file_path, name, start_line, end_line FROM extracted_units")
+@query()
 def units_extracted(spark, sf_dir):
-    """Functions taken from the texts by signature and braces, for the files of which the parser gave units."""
-    have = load(spark, sf_dir, "extracted_units").select(F.col("file_path").alias("_f")).distinct()
-    u = extract.units(spread(load(spark, sf_dir, "file_contents")))
-    return u.join(have, F.col("file_path") == F.col("_f"), "left_semi").select("file_path", "name", "start_line", "end_line")
+    """Functions taken from all texts by signature and braces; a test compares them with the unit table of the parser."""
+    return extract.units(spread(load(spark, sf_dir, "file_contents"))).select("file_path", "name", "start_line", "end_line")
+
+
+@query()
+def units_measured(spark, sf_dir):
+    """Complexity, calls and types of the functions of all scripts."""
+    m = extract.measured(spread(load(spark, sf_dir, "file_contents")))
+    return m.select("file_path", "name", "start_line", "complexity", F.array_join("calls", ",").alias("calls"), F.array_join("types", ",").alias("types"))
 
 
 @query()

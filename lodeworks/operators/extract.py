@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import lexing
 
-#: Longest text that is taken apart; longer ones give no units. Fixed value.
-LONGEST = 500_000
 _STARTS = {
     "py": re.compile(r"^(?P<indent>[ \t]*)(?P<async>async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*\(", re.M),
     "js": re.compile(r"^(?P<indent>[ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:(?P<async>async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>\w+)[ \t]*(?:<[^>\n]*>)?\(|(?:const|let|var)[ \t]+(?P<arrow>\w+)[ \t]*=[ \t]*(?P<async2>async[ \t]*)?\((?=[^;\n]*=>)|(?P<async3>async[ \t]+)?(?P<method>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|constructor\b)\w+)[ \t]*\((?=[^;\n]*\)[^;\n=]*\{[ \t\r]*$))", re.M),
@@ -32,7 +30,7 @@ def units_of(path: str, text: str) -> list[tuple[str, str, int, int, bool]]:
     """(name, kind, first line, last line, is_async) of the functions of a text; methods are named after their class."""
     lang = lexing.language(path)
     starts = _STARTS.get(lang)
-    if starts is None or not text or len(text) > LONGEST:
+    if starts is None or not text:
         return []
     code = lexing.blanked(text, lexing.spans(text, lang))
     line_of = lambda at: code.count("\n", 0, at) + 1
@@ -91,6 +89,40 @@ def units(contents: DataFrame) -> DataFrame:
     return contents.filter(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, UNITS)
 
 
+#: Branches of a parsed script, besides the operators: if, the conditional, loops, cases and catches. Fixed values.
+_BRANCHES = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?(?!=)|\?\.(?!\d)|\?(?![?.:,)=>\]])")
+_CALLS = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*))\s*(?:<[\w\s,.\[\]|]*>)?\(")
+_TYPES = re.compile(r"[:<|&,]\s*([A-Z][\w$]*(?:\.[\w$]+)*)|\b(?:as|extends|implements|satisfies)\s+([A-Z][\w$]*)")
+_NO_CALL = frozenset("if for while switch catch return function await typeof new super import".split())
+
+
+def measures(code: str) -> tuple[int, list[str], list[str]]:
+    """(cyclomatic complexity, first thirty calls, first thirty type names) of blanked script code: one more than its branches."""
+    calls = [re.sub(r"\s", "", m[1]) for m in _CALLS.finditer(code)]
+    types = [m[1] or m[2] for m in _TYPES.finditer(code)]
+    first = lambda found: list(dict.fromkeys(found))[:30]
+    return 1 + len(_BRANCHES.findall(code)), first(c for c in calls if c not in _NO_CALL and len(c) < 80), first(t for t in types if len(t) < 60)
+
+
+MEASURED = "file_path string, name string, start_line long, complexity long, calls array<string>, types array<string>"
+
+
+def measured(contents: DataFrame) -> DataFrame:
+    """(file_path, name, start_line, complexity, calls, types) of every function of script texts, strings and comments left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["content"]):
+                code = lexing.blanked(text, lexing.spans(text, lexing.language(path))).split("\n")
+                for name, _, first, last, _ in units_of(path, text):
+                    rows.append((path, name, first, *measures("\n".join(code[first - 1 : last]).split("(", 1)[-1])))
+            yield pd.DataFrame(rows, columns=["file_path", "name", "start_line", "complexity", "calls", "types"])
+
+    scripts = contents.filter(F.col("path").rlike(r"\.(js|ts|jsx|tsx)$") & F.col("content").isNotNull())
+    return scripts.select("path", "content").mapInPandas(run, MEASURED)
+
+
 def tree(paths: DataFrame, depth: int) -> DataFrame:
     """(path, parent, level, kind, files): the directory tree as a flat table, down to ``depth`` levels.
 
