@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeworks import code_queries, domain_queries, graph_queries, history_queries, index_queries, inventory_queries, io_queries, resolve_queries, retrieval_queries, store_queries, text_queries, write_queries
+from lodeworks import code_queries, compose_queries, domain_queries, graph_queries, history_queries, index_queries, inventory_queries, io_queries, resolve_queries, retrieval_queries, store_queries, text_queries, write_queries
 
-_MODULES = (history_queries, store_queries, text_queries, retrieval_queries, graph_queries, code_queries, domain_queries, inventory_queries, index_queries, io_queries, resolve_queries, write_queries)
+_MODULES = (history_queries, store_queries, text_queries, retrieval_queries, graph_queries, code_queries, domain_queries, inventory_queries, index_queries, io_queries, resolve_queries, write_queries, compose_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

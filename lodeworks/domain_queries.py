@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.operators import documents as D
@@ -25,22 +28,89 @@ def query(sql: str | None = None):
 
 
 #: Required keys of the document kinds. Fixed values.
-REQUIRED = {"Patient": ["birthDate", "gender", "name"], "Encounter": ["class", "status", "subject"], "Observation": ["code", "status"]}
+REQUIRED = {
+    "Patient": ["id", "resourceType", "name", "gender", "birthDate"],
+    "Condition": ["id", "resourceType", "code", "subject"],
+    "Observation": ["id", "resourceType", "status", "code"],
+    "Procedure": ["id", "resourceType", "status", "code", "subject"],
+    "MedicationRequest": ["id", "resourceType", "status", "intent", "medication", "subject"],
+    "Encounter": ["id", "resourceType", "status", "class", "subject"],
+    "AllergyIntolerance": ["id", "resourceType", "patient"],
+}
 
 
 def _resources(spark, sf_dir):
-    """Customers and orders as JSON documents: Patient with name and birthDate or gender, Encounter with status."""
-    c = load(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.lit("Patient").alias("kind"), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("_segment"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey").cast("string")).alias("gender"))).alias("doc"))
-    o = load(spark, sf_dir, "orders").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("Encounter").alias("kind"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("class"))).alias("doc"))
-    return c.unionByName(o)
+    """Rows of the small tables as JSON documents of all kinds, each lacking some keys; null values leave their key out."""
+
+    def docs(table, letter, key, kind, **fields):
+        t = load(spark, sf_dir, table)
+        ident = F.concat(F.lit(letter), F.col(key).cast("string"))
+        return t.select(ident.alias("id"), F.lit(kind).alias("kind"), F.to_json(F.struct(ident.alias("id"), F.lit(kind).alias("resourceType"), *[v.alias(k) for k, v in fields.items()])).alias("doc"))
+
+    c, q = F.col, F.lit
+    text = lambda x: F.struct(c(x).alias("text"))
+    parts = [
+        docs("customer", "p", "c_custkey", "Patient", name=c("c_name"), _segment=c("c_mktsegment"), gender=F.when(c("c_acctbal") > 0, c("c_nationkey").cast("string")), given=F.array(c("c_mktsegment"), c("c_nationkey").cast("string")), contact=F.struct(c("c_name").alias("name"))),
+        docs("orders", "e", "o_orderkey", "Encounter", status=c("o_orderstatus"), **{"class": c("o_orderpriority")}),
+        docs("part", "o", "p_partkey", "Observation", code=text("p_type"), status=F.when(c("p_size") > 25, q("final"))),
+        docs("supplier", "c", "s_suppkey", "Condition", code=text("s_name"), subject=F.when(c("s_acctbal") > 0, c("s_name"))),
+        docs("nation", "r", "n_nationkey", "Procedure", status=q("done"), code=text("n_name")),
+        docs("region", "m", "r_regionkey", "MedicationRequest", status=q("active"), intent=q("order")),
+        docs("region", "a", "r_regionkey", "AllergyIntolerance", note=c("r_name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
 
+_MISSING = """SELECT 'p' || c_custkey AS id, 'Patient' AS kind, ['birthDate'] || CASE WHEN c_acctbal > 0 THEN [] ELSE ['gender'] END AS m FROM customer UNION ALL SELECT 'e' || o_orderkey, 'Encounter', ['subject'] FROM orders
+UNION ALL SELECT 'o' || p_partkey, 'Observation', CASE WHEN p_size > 25 THEN [] ELSE ['status'] END FROM part UNION ALL SELECT 'c' || s_suppkey, 'Condition', CASE WHEN s_acctbal > 0 THEN [] ELSE ['subject'] END FROM supplier
+UNION ALL SELECT 'r' || n_nationkey, 'Procedure', ['subject'] FROM nation UNION ALL SELECT 'm' || r_regionkey, 'MedicationRequest', ['medication', 'subject'] FROM region UNION ALL SELECT 'a' || r_regionkey, 'AllergyIntolerance', ['patient'] FROM region"""
 
-@query("""WITH r AS (SELECT 'p' || c_custkey AS id, 'Patient' AS kind, ['birthDate'] || CASE WHEN c_acctbal > 0 THEN [] ELSE ['gender'] END AS m FROM customer UNION ALL SELECT 'e' || o_orderkey, 'Encounter', ['subject'] FROM orders)
-SELECT id, kind, unnest(m) AS missing FROM r""")
+
+@query(f"WITH r AS ({_MISSING}) SELECT id, kind, unnest(m) AS missing FROM r")
 def documents_missing_fields(spark, sf_dir):
     return D.missing_fields(_resources(spark, sf_dir), "doc", "kind", REQUIRED).select("id", "kind", F.explode("missing").alias("missing"))
 
 
+@query("SELECT 'p' || c_custkey AS id FROM customer WHERE contains(c_mktsegment || ',' || c_nationkey, 'ING,1')")
+def documents_search_nested(spark, sf_dir):
+    """Search in an array, which reads as its elements joined by commas, and in an object, which reads as its kind alone."""
+    return D.search(_resources(spark, sf_dir).filter("kind = 'Patient'"), "doc", {"given": "ING,1", "contact": "[object"}).select("id")
+
+
+@query("SELECT 'r' || n_nationkey AS id, 'subject' AS missing FROM nation")
+def document_folder_read(spark, sf_dir):
+    """Documents written one a file, read back from their folder and validated on reading; what they lack."""
+    from lodeworks.plans.lineage import scratch
+    from lodeworks.sources import files
+
+    folder = scratch(spark, "documents")
+    _resources(spark, sf_dir).filter("kind = 'Procedure'").select(F.from_json("doc", "id string, resourceType string, status string, code struct<text: string>").alias("d")).select("d.*").write.option("maxRecordsPerFile", 1).json(folder)
+    read = files.json_folder(spark, folder).select(F.get_json_object("doc", "$.id").alias("id"), F.get_json_object("doc", "$.resourceType").alias("kind"), "doc")
+    return D.missing_fields(read, "doc", "kind", REQUIRED).select("id", F.explode("missing").alias("missing"))
+
+
+@query("SELECT 'p' || c_custkey AS id, true AS same, c_mktsegment AS segment FROM customer")
+def documents_pretty(spark, sf_dir):
+    """Documents as indented JSON and back: the segment survives, the text parses to the same document."""
+    d = _resources(spark, sf_dir).filter("kind = 'Patient'").select("id", F.parse_json("doc").alias("v"))
+    pretty = d.select("id", "v", F.to_json("v", {"pretty": "true"}).alias("text"))
+    return pretty.select("id", (F.to_json(F.parse_json("text")) == F.to_json("v")).alias("same"), F.variant_get(F.parse_json("text"), "$._segment", "string").alias("segment"))
+
+
+@query("SELECT 'store' AS name, '4.0.1' AS version, unnest(['Patient', 'Condition', 'Observation', 'Procedure', 'MedicationRequest', 'Encounter', 'AllergyIntolerance']) AS kind, unnest([5, 4, 4, 5, 6, 5, 3]) AS required")
+def capability_record(spark, sf_dir):
+    """What the document store can validate: a static record."""
+    return spark.createDataFrame([("store", "4.0.1", k, len(v)) for k, v in REQUIRED.items()], "name string, version string, kind string, required int")
+
+
+@query("SELECT 'p' || c_custkey AS id, coalesce(arg_max(event_type, (ts, event_id)), 'not_found') AS status FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey")
+def task_status(spark, sf_dir):
+    """The last state of each task asked for, not_found where none was ever sent."""
+    asked = load(spark, sf_dir, "customer").select("c_custkey")
+    last = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("_u")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("s"))
+    return asked.join(last, F.col("c_custkey") == F.col("_u"), "left").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.coalesce("s", F.lit("not_found")).alias("status"))
+
+
 @query("SELECT 'p' || c_custkey AS id FROM customer WHERE contains(c_mktsegment, 'BUILD') AND contains(c_name, '1') ORDER BY id LIMIT 20 OFFSET 10")
 def documents_search_page(spark, sf_dir):
     found = D.search(_resources(spark, sf_dir).filter("kind = 'Patient'"), "doc", {"segment": "BUILD", "name": "1"})

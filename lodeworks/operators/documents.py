@@ -22,13 +22,28 @@ def missing_fields(docs: DataFrame, doc: str, kind: str, required: dict[str, lis
     return docs.withColumn("missing", F.array_sort(F.array_except(F.coalesce(need, F.array().cast("array<string>")), keys)))
 
 
+def as_text(value: Column, kind: Column) -> Column:
+    """A JSON value as text: arrays as their elements joined by commas, objects as ``[object Object]``, scalars as they are.
+
+    ``kind`` is the value's variant type; a null element of an array is empty.
+    """
+    element = lambda e: F.when(e.startswith("{"), "[object Object]").otherwise(F.coalesce(e, F.lit("")))
+    joined = F.array_join(F.transform(F.from_json(value, "array<string>"), element), ",")
+    return F.when(kind.startswith("ARRAY"), joined).when(kind.startswith("OBJECT"), "[object Object]").otherwise(value)
+
+
 def search(docs: DataFrame, doc: str, params: dict[str, str]) -> DataFrame:
-    """Documents in which every parameter's text occurs, in its case, in the value of its key or of its key after an underscore."""
+    """Documents in which every parameter's text occurs, in its case, in the value of its key or, where that is null, of its key after an underscore."""
+    if not params:
+        return docs
+    v = docs.withColumn("_v", F.try_parse_json(doc))
+
     def value(k: str) -> Column:
-        return F.coalesce(F.get_json_object(doc, f"$.{k}"), F.get_json_object(doc, f"$._{k}"))
+        kinds = [F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for n in (k, f"_{k}")]
+        texts = [F.get_json_object(doc, f"$.{n}") for n in (k, f"_{k}")]
+        return F.coalesce(*[as_text(t, c) for t, c in zip(texts, kinds)])
 
-    terms = [F.contains(value(k), F.lit(v)) for k, v in params.items()]
-    return docs.filter(reduce(Column.__and__, terms)) if terms else docs
+    return v.filter(reduce(Column.__and__, [F.contains(value(k), F.lit(x)) for k, x in params.items()])).drop("_v")
 
 
 def apply_operations(docs: DataFrame, operations: DataFrame, key: str, order: str) -> DataFrame:

@@ -93,3 +93,49 @@ def rolling(events: DataFrame, key: str, value: str, at: str, tie: str, samples:
     """``events`` with the mean and count of the last ``samples`` values of its key, itself included."""
     w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(-(samples - 1), 0)
     return events.withColumn("rolling_mean", F.avg(value).over(w)).withColumn("rolling_n", F.count(value).over(w))
+
+
+def call_snapshot(calls: DataFrame, key: str, value: str, result: str, failed: str, at: str, tie: str, samples: int = 1000) -> DataFrame:
+    """(key, calls, errors, mean) per key, with the mean of its newest ``samples`` values, and a row ``<all>`` weighted by samples.
+
+    Means are rounded half up to hundredths. The newest values are found by a rank bound, which is met before the shuffle.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
+    recent = calls.select(key, value, at, tie).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= samples)
+    sums = recent.groupBy(F.col(key).alias("_k")).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+    per = calls.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col(result) == failed).alias("errors")).join(sums, F.col(key).eqNullSafe(F.col("_k")))
+    mean = lambda t, n: F.floor(F.coalesce(F.try_divide(t, n), F.lit(0.0)) * 100 + 0.5) / 100
+    each = per.select(F.col(key).cast("string").alias(key), "calls", "errors", mean(F.col("total"), F.col("n")).alias("mean"))
+    whole = per.agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), mean(F.sum("total"), F.sum("n")).alias("mean"))
+    return each.unionByName(whole.select(F.lit("<all>").alias(key), "calls", "errors", "mean"))
+
+
+REPLAY = "cache string, hits long, misses long, expired long, evicted long"
+
+
+def cache_replay(accesses: DataFrame, cache: str, key: str, at: str, tie: str, ttl: float, capacity: int) -> DataFrame:
+    """(cache, hits, misses, expired, evicted): accesses in order against a cache that forgets.
+
+    A value lives ``ttl`` seconds from when it was set; a hit makes it the most recently used and does not prolong it;
+    a miss sets it, and beyond ``capacity`` the least recently used goes. Sequential per cache by nature.
+    """
+    rows = accesses.select(F.col(cache).cast("string").alias("cache"), F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").cast("double").alias("at"), F.col(tie).alias("tie"))
+
+    def walk(t: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, float] = {}  # in order of use
+        hits = misses = expired = evicted = 0
+        for k, now in t.sort_values(["at", "tie"])[["key", "at"]].itertuples(index=False):
+            since = held.pop(k, None)
+            if since is not None and now - since <= ttl:
+                hits += 1
+                held[k] = since
+                continue
+            misses += 1
+            expired += since is not None
+            held[k] = now
+            if len(held) > capacity:
+                held.pop(next(iter(held)))
+                evicted += 1
+        return pd.DataFrame({"cache": [t["cache"].iat[0]], "hits": [hits], "misses": [misses], "expired": [expired], "evicted": [evicted]})
+
+    return rows.groupBy("cache").applyInPandas(walk, REPLAY)

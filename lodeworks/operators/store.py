@@ -217,3 +217,11 @@ def issued(rows: DataFrame, key: str, now: Column) -> DataFrame:
 def revoked(tokens: DataFrame, which: Column, now: Column) -> DataFrame:
     """``tokens`` with those of ``which`` revoked; the first revocation keeps its time."""
     return tokens.withColumn("revoked_at", F.coalesce("revoked_at", F.when(which, now)))
+
+
+def adjusted(counters: DataFrame, deltas: DataFrame, key: str, count: str) -> DataFrame:
+    """(key, count): stored counters after signed ``deltas`` (key, delta); what falls to zero or below leaves."""
+    d = deltas.select(F.col(key).alias("_k"), F.col("delta").alias("_d"))
+    both = counters.join(d, F.col(key) == F.col("_k"), "full_outer")
+    total = (F.coalesce(count, F.lit(0)) + F.coalesce("_d", F.lit(0))).cast("long")
+    return both.select(F.coalesce(key, "_k").alias(key), total.alias(count)).filter(F.col(count) > 0)
