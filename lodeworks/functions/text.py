@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -113,35 +113,94 @@ def index_terms(table: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, kind, n): words with kind ``word``; bigrams, and trigrams of texts with more than 20 words, with kind ``ngram``."""
     t = table.select(key, words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     grams = F.concat(ngrams(F.col("w"), 2), F.when(F.size("w") > 20, ngrams(F.col("w"), 3)).otherwise(F.array().cast("array<string>")))
-    each = t.select(key, F.explode("w").alias("term"), F.lit("word").alias("kind")).unionByName(t.select(key, F.explode(grams).alias("term"), F.lit("ngram").alias("kind")))
+    named = lambda terms, kind: F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(kind).alias("kind")))
+    each = t.select(key, F.inline(F.concat(named(F.col("w"), "word"), named(grams, "ngram"))))
     return each.groupBy(key, "term", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def polynomial_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit polynomial hashes of base 31, powers of 31 by length) of words.
+
+    Words of usual length are hashed sign by sign as columns of a matrix, long ones one by one.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.zeros(len(words), np.uint32)
+    short = np.flatnonzero(lengths <= 64)
+    if len(short):
+        signs = np.array([words[i] for i in short], dtype=str)
+        width = max(signs.dtype.itemsize // 4, 1)
+        code = signs.view(np.uint32).reshape(len(signs), width)
+        part, size = np.zeros(len(signs), np.uint32), lengths[short]
+        for i in range(width):
+            part = np.where(i < size, part * np.uint32(31) + code[:, i], part)
+        h[short] = part
+    for i in np.flatnonzero(lengths > 64):
+        code = np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        powers = np.cumprod(np.concatenate([[1], np.full(len(code) - 1, 31)]).astype(np.uint32), dtype=np.uint32)[::-1]
+        h[i] = (code * powers).sum(dtype=np.uint32)
+    top = int(lengths.max(initial=0)) + 1
+    return h, np.cumprod(np.concatenate([[1], np.full(top - 1, 31)]).astype(np.uint32), dtype=np.uint32)[lengths]
+
+
+def columns_of(hashes: np.ndarray) -> np.ndarray:
+    """Columns of hashed terms: the absolute value of the signed hash modulo the width."""
+    return np.abs(hashes.astype(np.int32).astype(np.int64)) % DIMENSIONS
+
+
 @F.pandas_udf(IntegerType())
 def bucket(terms: pd.Series) -> pd.Series:
-    """Column of a hashed term: the 32-bit polynomial hash of base 31, its absolute value modulo the width.
+    """Column of a hashed term."""
+    return pd.Series(columns_of(polynomial_hashes(terms.tolist())[0]).astype(np.int32)) if len(terms) else pd.Series([], dtype="int32")
+
 
-    Arrow batches of terms are hashed sign by sign as columns of a matrix; the same sum as a SQL expression walks
-    every term with an interpreted lambda and takes several times as long.
+class Hashed:
+    """The terms of texts given as word lists: unit rows of hashed columns, and the hashes of words and n-grams in place.
+
+    An n-gram's hash follows from those of its words, so no n-gram is ever built. ``texts`` and ``at`` tell of each hash the text
+    and the position of its first word; ``size`` is the number of its words.
+    """
+
+    def __init__(self, lists: list):
+        self.flat = [w for words in lists for w in words]
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        code, vocabulary = pd.factorize(np.array(self.flat, object)) if self.flat else (np.zeros(0, np.int64), [])
+        h, power = polynomial_hashes(list(vocabulary))
+        one, power = h[code], power[code]
+        text = np.repeat(np.arange(len(lists)), count)
+        join = lambda a, b: (a * np.uint32(31) + np.uint32(95)) * power[b] + one[b]
+        first = np.flatnonzero(text[1:] == text[:-1])
+        two = join(one[first], first + 1)
+        third = np.flatnonzero((text[2:] == text[:-2]) & (count[text[2:]] > 20)) if len(text) > 2 else np.zeros(0, np.int64)
+        three = join(two[np.searchsorted(first, third)], third + 2)
+        self.hashes = np.concatenate([one, two, three])
+        self.at = np.concatenate([np.arange(len(one)), first, third])
+        self.size = np.repeat([1, 2, 3], [len(one), len(two), len(three)])
+        self.texts = text[self.at]
+        cell = self.texts * DIMENSIONS + columns_of(self.hashes)
+        rows = np.bincount(cell, np.where(self.size == 1, 1.0, NGRAM_WEIGHT), len(lists) * DIMENSIONS).reshape(len(lists), DIMENSIONS)
+        self.rows = rows / np.maximum(np.sqrt((rows**2).sum(axis=1)), 1e-300)[:, None]
+
+    def term(self, k: int) -> str:
+        return "_".join(self.flat[self.at[k] : self.at[k] + self.size[k]])
+
+
+def hashed_vectors(table: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bucket, weight): the terms of each text hashed into columns, n-grams weighing more, each vector of unit length.
+
+    One row of ``table`` per key. Each text is worked where it lies; nothing is shuffled.
     """
-    if not len(terms):
-        return pd.Series([], dtype="int32")
-    signs = np.array(terms.tolist(), dtype=str)
-    width = max(signs.dtype.itemsize // 4, 1)
-    code = signs.view(np.uint32).reshape(len(signs), width)
-    lengths = np.char.str_len(signs)
-    h = np.zeros(len(signs), np.uint32)
-    for i in range(width):
-        h = np.where(i < lengths, h * np.uint32(31) + code[:, i], h)
-    return pd.Series((np.abs(h.astype(np.int32).astype(np.int64)) % DIMENSIONS).astype(np.int32))
-
-
-def hashed_vectors(terms: DataFrame, key: str) -> DataFrame:
-    """(key, bucket, weight): term counts hashed into columns, n-grams weighing more, each vector of unit length."""
-    w = F.when(F.col("kind") == "word", F.col("n")).otherwise(F.col("n") * NGRAM_WEIGHT)
-    raw = terms.select(key, bucket("term").alias("bucket"), w.alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "bucket", (F.col("w") / norm).alias("weight"))
+    kind = table.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 500):
+                part = b.iloc[k : k + 500]
+                rows = Hashed(list(part["w"])).rows
+                doc, col = np.nonzero(rows)
+                yield pd.DataFrame({key: part[key].to_numpy()[doc], "bucket": col.astype(np.int32), "weight": rows[doc, col]})
+
+    t = table.select(key, words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    return t.mapInPandas(run, f"{key} {kind}, bucket int, weight double")
 
 
 def snippet(text: Column, terms: list[str], before: int = 50, after: int = 150, most: int = 200) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,22 +38,45 @@ def rank(scored: DataFrame, by: str, tie: str, name: str, within: list[str], mos
     return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= most)
 
 
-def lexical(terms: DataFrame, queries: DataFrame, key: str, qkey: str) -> DataFrame:
-    """(qkey, key, score) of every document that shares a column with a query.
+def lexical(docs: DataFrame, queries: DataFrame, key: str, qkey: str, text: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
+    """(qkey, key, score) of every document that shares a column with a query; one row per key in both tables.
 
-    ``terms`` and ``queries`` come from ``index_terms``. The score is the cosine of the hashed vectors, plus a fifth
-    of the share of query n-grams and a tenth of the share of query words that the document has, at most 1. The
-    queries are few: their vectors join the corpus by column, and no document meets a query it shares nothing with.
+    The score is the cosine of the hashed vectors, plus a fifth of the share of query n-grams and a tenth of the share of
+    query words that the document has, at most 1. The queries are a stated set, counted and taken in as many passes as
+    keep what travels with the tasks under ``block``; a pass reads each document once, where it lies.
     """
-    dv = T.hashed_vectors(terms, key)
-    qv = T.hashed_vectors(queries, qkey).select(qkey, F.col("bucket").alias("_b"), F.col("weight").alias("_w"))
-    cos = dv.join(qv, F.col("bucket") == F.col("_b")).groupBy(qkey, key).agg(F.sum(F.col("weight") * F.col("_w")).alias("cos"))
-    q = queries.select(F.col(qkey).alias("_q"), F.col("term").alias("_t"), F.col("kind").alias("_k"))
-    size = queries.groupBy(F.col(qkey).alias("_s")).agg(F.count_if(F.col("kind") == "word").alias("words_n"), F.count_if(F.col("kind") == "ngram").alias("ngrams_n"))
-    shared = terms.join(q, (F.col("term") == F.col("_t")) & (F.col("kind") == F.col("_k"))).groupBy("_q", F.col(key).alias("_d")).agg(F.count_if(F.col("kind") == "word").alias("w"), F.count_if(F.col("kind") == "ngram").alias("g"))
-    both = cos.join(shared, (F.col(qkey) == F.col("_q")) & (F.col(key) == F.col("_d")), "left").join(size, F.col(qkey) == F.col("_s"))
-    share = F.lit(0.2) * F.coalesce("g", F.lit(0)) / F.greatest("ngrams_n", F.lit(1)) + F.lit(0.1) * F.coalesce("w", F.lit(0)) / F.greatest("words_n", F.lit(1))
-    return both.select(qkey, key, F.least(F.lit(1.0), F.col("cos") + share).alias("score"))
+    asked = queries.select(F.col(qkey).alias("_q"), T.words(F.col(text)).alias("_w"))
+    passes = max(1, -(-asked.count() // block))
+    kinds = f"{qkey} {queries.schema[qkey].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    rows = docs.select(key, T.words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    out = []
+    for n in range(passes):
+        part = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == n)
+        held = part.collect()
+        names, lists = np.array([r["_q"] for r in held], object), [r["_w"] for r in held]
+
+        def run(batches: Iterator[pd.DataFrame], names=names, lists=lists) -> Iterator[pd.DataFrame]:
+            q = T.Hashed(lists)
+            wanted: dict[tuple[str, bool], set[int]] = {}
+            for k, t in enumerate(q.texts):
+                wanted.setdefault((q.term(k), q.size[k] == 1), set()).add(int(t))
+            sizes = [np.maximum(1, np.bincount([t for (_, w), ts in wanted.items() if w == word for t in ts], minlength=len(names))) for word in (True, False)]
+            sought = np.unique(q.hashes)
+            for b in batches:
+                for k in range(0, len(b), 500):
+                    d = b.iloc[k : k + 500]
+                    h = T.Hashed(list(d["w"]))
+                    score = h.rows.dot(q.rows.T)
+                    meets = score > 0
+                    found = {(int(h.texts[i]), h.term(i), bool(h.size[i] == 1)) for i in np.flatnonzero(np.isin(h.hashes, sought))}
+                    for doc, term, word in found:
+                        for t in wanted.get((term, word), ()):
+                            score[doc, t] += (0.1 if word else 0.2) / sizes[0 if word else 1][t]
+                    doc, t = np.nonzero(meets)
+                    yield pd.DataFrame({qkey: names[t], key: d[key].to_numpy()[doc], "score": np.minimum(1.0, score[doc, t])})
+
+        out.append(rows.mapInPandas(run, kinds))
+    return reduce(DataFrame.unionByName, out)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:

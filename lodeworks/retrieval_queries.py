@@ -47,8 +47,7 @@ lex AS (SELECT q, doc_id, least(1.0, cos + 0.2 * coalesce(g, 0) / greatest(gs, 1
 
 
 def _lexical(spark, sf_dir):
-    terms = T.index_terms(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    return R.lexical(terms, T.index_terms(_asked(spark), "q", "text"), "doc_id", "q")
+    return R.lexical(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), _asked(spark), "doc_id", "q")
 
 
 @query(_LEX + " SELECT q, doc_id, round(score, 6) AS score FROM lex WHERE round(score, 6) >= 0.3")

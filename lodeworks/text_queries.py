@@ -56,8 +56,7 @@ def ngram_counts(spark, sf_dir):
 
 @query(f"WITH {BUCKETS} SELECT doc_id, bucket, round(weight, 6) AS weight FROM vectors")
 def hashed_vectors(spark, sf_dir):
-    terms = T.index_terms(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    return T.hashed_vectors(terms, "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+    return T.hashed_vectors(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("""WITH d AS (SELECT doc_id, text, instr(lower(text), 'handoff') AS a, instr(lower(text), 'ledger') AS b FROM documents WHERE text IS NOT NULL), p AS (SELECT *, CASE WHEN a > 0 THEN a ELSE b END AS pos FROM d),
