@@ -91,6 +91,41 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, vector: s
     return reduce(DataFrame.unionByName, scored)
 
 
+def dense_top(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, most: int, vector: str = "embedding", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qkey, key, similarity, place): the ``most`` best of each stated query by rounded product, ties by key.
+
+    A batch of vectors meets a block of queries in one matrix product and keeps its own best; only those are ranked
+    again. Vectors of another length than a query's have product 0.
+    """
+    q = queries.select(F.col(qkey).alias("_q"), F.col(vector).alias("_v")).filter("_v IS NOT NULL")
+    passes = max(1, -(-q.count() // block))
+    kinds = f"{qkey} {queries.schema[qkey].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, similarity double"
+    rows = vectors.select(key, F.col(vector).alias("v")).filter("v IS NOT NULL")
+    out = []
+    for n in range(passes):
+        held = (q if passes == 1 else q.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == n)).collect()
+        names, asked = [r["_q"] for r in held], [np.array(r["_v"], np.float64) for r in held]
+
+        def run(batches: Iterator[pd.DataFrame], names=names, asked=asked) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                lists, keys = [np.asarray(v, np.float64) for v in b["v"]], b[key].to_numpy()
+                by_key = np.argsort(keys, kind="stable")
+                score = np.zeros((len(names), len(lists)))
+                for size in {len(v) for v in asked}:
+                    i = [k for k, v in enumerate(asked) if len(v) == size]
+                    j = [k for k, v in enumerate(lists) if len(v) == size]
+                    if i and j:
+                        score[np.ix_(i, j)] = np.stack([asked[k] for k in i]) @ np.stack([lists[k] for k in j]).T
+                score = np.round(score, digits)[:, by_key]
+                best = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                row = np.repeat(np.arange(len(names)), best.shape[1])
+                col = best.ravel()
+                yield pd.DataFrame({qkey: np.array(names, object)[row], key: keys[by_key][col], "similarity": score[row, col]})
+
+        out.append(rows.mapInPandas(run, kinds))
+    return rank(reduce(DataFrame.unionByName, out), "similarity", key, "place", [qkey], most)
+
+
 def fused(a: DataFrame, b: DataFrame, qkey: str, key: str, a_rank: str, b_rank: str, k: int = RRF) -> DataFrame:
     """(qkey, key, score): reciprocal-rank fusion of two rankings by a full outer join."""
     left = a.select(F.col(qkey).alias("_qa"), F.col(key).alias("_a"), F.col(a_rank).alias("_ra"))

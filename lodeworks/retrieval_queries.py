@@ -69,8 +69,7 @@ def dense_search(spark, sf_dir):
     """The ten nearest of each query vector, the queries being every vector whose id is divisible by 100."""
     e = load(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
-    s = R.dense(e, asked, "vec_id", "q").withColumn("similarity", F.round("similarity", 6))
-    return R.rank(s, "similarity", "vec_id", "place", ["q"], 10).select("q", "vec_id", "similarity")
+    return R.dense_top(e, asked, "vec_id", "q", 10).select("q", "vec_id", "similarity")
 
 
 _HYBRID = f"""{_LEX}, lr AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc_id) AS r FROM lex),
