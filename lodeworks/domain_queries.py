@@ -185,7 +185,10 @@ def attempt_sessions(spark, sf_dir):
     return s.groupBy("event_type").agg(F.count_if(F.col("attempt") == 1).alias("sessions_n"), F.count_if(F.col("attempt") > 2).alias("refused"), F.max("attempt").cast("long").alias("longest"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT event_type AS key, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second) AS i FROM c),
+r(key, i, second, tokens, allowed, blocked) AS (SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, 3.0::DOUBLE, 0::BIGINT, 0::BIGINT FROM o UNION ALL
+SELECT key, i, second, t - take, allowed + take, blocked + n - take FROM (SELECT *, least(n, CAST(floor(t) AS BIGINT)) AS take FROM (SELECT o.key, o.i, o.second, o.n, r.allowed, r.blocked, CASE WHEN r.second IS NULL THEN r.tokens ELSE least(3.0, r.tokens + (o.second - r.second) * 0.001) END AS t FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)))
+SELECT key, max(allowed) AS allowed, max(blocked) AS blocked FROM r GROUP BY key""")
 def token_bucket(spark, sf_dir):
     return O.token_bucket(load(spark, sf_dir, "events"), "event_type", "ts", 3, 0.001)
 

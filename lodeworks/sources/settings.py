@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,5 +51,5 @@ def policies(spark: SparkSession, path: str, default: list[tuple]) -> DataFrame:
         if found.filter("pattern IS NOT NULL").isEmpty():
             raise ValueError
         return found
-    except (PySparkException, ValueError):
+    except (PySparkException, Py4JJavaError, ValueError):
         return spark.createDataFrame(default, POLICY)
