@@ -30,7 +30,7 @@ CELL, BLOCK = 128, 4_096
 #: Codewords of the first book at most; more cells than that are pairs of a first and a second codeword.
 COARSE = 4_096
 #: Standard deviations of a partner's step that a vector looks beyond the walls of its cell.
-SIGMAS = 2.5
+SIGMAS = 2.0
 BEAM = 4
 
 
@@ -102,8 +102,8 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centres
 
 
-def fit(x: np.ndarray, cells: int, words: int = WORDS, books: int = BOOKS, seed: int = 7, deep: bool = False) -> Codebooks:
-    """Codebooks from sample rows: the residual of each book is what the next is fitted on."""
+def fit(x: np.ndarray, cells: int, words: int = WORDS, books: int = BOOKS, seed: int = 7, deep: int = 0) -> Codebooks:
+    """Codebooks from sample rows: the residual of each book is what the next is fitted on. ``deep`` words in the second make cells of two books."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     across = np.linalg.eigvalsh(np.cov(x.T) if len(x) > 1 else np.eye(x.shape[1])) if x.shape[1] > 1 else np.ones(1)
@@ -111,12 +111,12 @@ def fit(x: np.ndarray, cells: int, words: int = WORDS, books: int = BOOKS, seed:
     first = _means(x, cells, 5, rng)
     left = x - first[np.argmax(x.dot(first.T) - 0.5 * np.einsum("kd,kd->k", first, first), axis=1)]
     rest = []
-    for _ in range(books):
+    for size in [*([deep] if deep else []), *[words] * books]:
         part = left[rng.choice(len(left), min(len(left), 8_192), replace=False)]
-        book = _means(part, words, 6, rng)
+        book = _means(part, size, 6, rng)
         left = left - book[np.argmax(left.dot(book.T) - 0.5 * np.einsum("kd,kd->k", book, book), axis=1)]
         rest.append(book)
-    return Codebooks(first, rest, spread, deep)
+    return Codebooks(first, rest, spread, bool(deep))
 
 
 def sound(vector: Column, length: int) -> Column:
@@ -162,7 +162,7 @@ def codebooks(vectors: DataFrame, cell: int = CELL, sample: int = SAMPLE, words:
     cells, coarse = max(1, n / cell), min(len(x) / 8 + 1, COARSE)
     if cells <= coarse:
         return fit(x, int(cells), words, books)
-    return fit(x, int(coarse), int(max(words, min(cells / coarse, len(x) / 8))), books, deep=True)
+    return fit(x, int(coarse), words, books, deep=int(min(np.ceil(cells / coarse), len(x) / 8 + 1)))
 
 
 SIDES = "side int, cell long, part int, id long, group string, data binary, scale float"
@@ -286,23 +286,29 @@ def pairs_within(spark, vectors: DataFrame, least: float, books: Codebooks | Non
             turn = np.array([p > q for p, q in zip(first, second)], bool)
             yield pd.DataFrame({"rep": np.where(turn, second, first), "other": np.where(turn, first, second), "similarity": s[keep]})
 
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cell, count = np.unique(cells_of(books, _unit(b["vector"]), 0.0)[0], return_counts=True)
+            yield pd.DataFrame({"cell": cell, "n": count})
+
     placed = vectors.select("id", F.col("group").cast("string").alias("group"), "vector").mapInPandas(place, SIDES)
+    stored = vectors.select("vector").mapInPandas(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("count"))
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sized = _split_cells(cut(placed))
+    sized = _split_cells(placed, stored)
     found = sized.repartition(n, "cell", "part").sortWithinPartitions("cell", "part").mapInPandas(search, "a long, b long").distinct()
     left = vectors.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("vector").alias("x"))
     right = vectors.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("vector").alias("y"))
     return found.join(left, "a").join(right, "b").select("ra", "rb", "x", "y").mapInPandas(rank, PAIRS)
 
 
-def _split_cells(placed: DataFrame) -> DataFrame:
-    """Cells with more than ``BLOCK`` stored vectors in parts.
+def _split_cells(placed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Cells with more than ``BLOCK`` stored vectors, by the counts of ``stored``, in parts.
 
-    The sizes of such cells are joined by cell; there are at most as many as vectors / ``BLOCK``, no size of which is
-    assumed: the planner broadcasts them while they are small.
+    There are at most as many such cells as vectors / ``BLOCK``; they are counted and broadcast while they are few.
     """
-    sizes = placed.filter("side = 0").groupBy("cell").count().filter(F.col("count") > BLOCK).select(F.col("cell").alias("_cell"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    joined = placed.join(sizes, F.col("cell") == F.col("_cell"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sizes = cut(stored.filter(F.col("count") > BLOCK).select(F.col("cell").alias("_cell"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")))
+    few = sizes.count() <= 1_000_000
+    joined = placed.join(F.broadcast(sizes) if few else sizes, F.col("cell") == F.col("_cell"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     to = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     return joined.select("side", "cell", F.explode(to).alias("part"), "id", "group", "data", "scale")
 
