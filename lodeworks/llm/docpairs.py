@@ -203,12 +203,16 @@ class Source:
         return []
 
     def _annotation_above(self, n: int) -> int:
-        """The line on which an annotation begins whose argument list closes on line ``n``, or 0."""
-        for k in range(n - 1, max(0, n - 40), -1):
+        """The line on which an annotation begins whose argument list closes on line ``n``, or 0: its brackets are counted back."""
+        depth = 0
+        for k in range(n, 0, -1):
             code = self._code_of(k)
-            if code.startswith("@"):
-                open_at = self.code.find("(", self.row(k)[0])
-                return k if open_at >= 0 and self.line_of(lexing.closing(self.code, open_at) - 1) == n else 0
+            for c in reversed(code):
+                depth += (c in ")]}") - (c in "([{")
+                if depth <= 0 and c in "([{":
+                    return k if depth == 0 and code.startswith("@") else 0
+            if depth <= 0 and code:
+                return 0
         return 0
 
     def documentation(self, line: int) -> tuple[str, list[str]]:

@@ -46,3 +46,13 @@ def test_table(spark):
     units = spark.createDataFrame([("/a.py", 1, "f", 0), ("/a.py", 1, None, 0), ("/a.py", None, "f", 0), (None, 1, "f", 0), ("/a.py", 99, "f", 0), ("/b.py", 1, "f", 0), ("/x.py", 1, "f", 0), ("/d.py", 30_001, "f", 0)], "file_path string, start_line long, name string, path int")
     assert sorted((r.file_path, r.start_line) for r in D.pairs(units, contents).collect()) == [("/a.py", 1), ("/d.py", 30_001)]
     assert D.pairs(units.limit(0), contents).count() == 0 and D.pairs(units, contents.limit(0)).count() == 0
+
+
+def test_long_annotations_stand_between():
+    listed = "".join(f"    name{i} = {{\"a\", \"b\"}},\n" for i in range(90))
+    text = f"class A {{\n  // Adds the given dose to the running total of the ward.\n  @Rule(\n{listed}  )\n  void add(int dose) {{\n  }}\n\n  // Some words that belong to a call and to nothing else.\n  int x = f(\n    1\n  );\n  void sub(int dose) {{\n  }}\n}}\n"
+    source = D.Source("/a.java", text)
+    lines = text.split("\n")
+    at = next(i for i, r in enumerate(lines) if "void add" in r) + 1
+    assert source.documentation(at)[0] == "comment" and D.word_count(source.documentation(at)[1], "A.add") >= 5
+    assert source.documentation(next(i for i, r in enumerate(lines) if "void sub" in r) + 1) == ("", [])
