@@ -196,10 +196,10 @@ def knowledge_graph_stats(spark, sf_dir):
 
 
 @query(rf"""WITH RECURSIVE {UNITS}, n AS (SELECT DISTINCT short FROM u), calls AS (SELECT DISTINCT u.short AS src, regexp_replace(t, '^.*\.', '') AS dst FROM (SELECT short, unnest(call_targets) AS t FROM u) u WHERE regexp_replace(t, '^.*\.', '') IN (SELECT short FROM n)),
-entry AS (SELECT DISTINCT short FROM u WHERE is_exported AND class = 'query'), r(entry, node, depth) AS (SELECT short, short, 0 FROM entry UNION SELECT r.entry, c.dst, r.depth + 1 FROM r JOIN calls c ON c.src = r.node WHERE r.depth < 3),
+entry AS (SELECT DISTINCT short FROM u WHERE is_exported AND class = 'query'), r(entry, node, depth) AS (SELECT short, short, 0 FROM entry UNION SELECT r.entry, c.dst, r.depth + 1 FROM r JOIN calls c ON c.src = r.node WHERE r.depth < 10),
 b AS (SELECT entry, node, min(depth) AS depth FROM r GROUP BY entry, node) SELECT entry, CAST(max(depth) AS INTEGER) AS steps, count(*) AS nodes FROM b GROUP BY entry""")
 def pipelines(spark, sf_dir):
-    """How far the calls of each exported query function lead, three steps at most."""
+    """How far the calls of each exported query function lead, ten steps at most."""
     from lodeworks.operators.graph import closure
     from lodeworks.plans.lineage import cut
 
@@ -207,5 +207,5 @@ def pipelines(spark, sf_dir):
     names = u.select(F.col("short").alias("n")).distinct()
     calls = u.select(F.col("short").alias("src"), F.explode("call_targets").alias("t")).select("src", F.regexp_replace("t", r"^.*\.", "").alias("dst")).distinct().join(names, F.col("dst") == F.col("n"), "left_semi")
     entry = u.filter("is_exported AND class = 'query'").select(F.col("short").alias("start")).distinct()
-    r = entry.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).unionByName(closure(calls, entry, 3).filter("start <> node"))
+    r = entry.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).unionByName(closure(calls, entry, 10).filter("start <> node"))
     return r.groupBy(F.col("start").alias("entry")).agg(F.max("depth").alias("steps"), F.count(F.lit(1)).alias("nodes"))
