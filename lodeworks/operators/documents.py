@@ -93,4 +93,4 @@ def routed(messages: DataFrame, endpoints: list[tuple[str, str]], to: str) -> Da
 def with_default(keys: DataFrame, table: DataFrame, key: str, value: str, default: list[str]) -> DataFrame:
     """``keys`` with the array ``value`` of ``table``, or ``default`` where the key is unknown."""
     t = table.select(F.col(key).alias("_k"), F.col(value))
-    return keys.join(F.broadcast(t), F.col(key) == F.col("_k"), "left").select(*keys.columns, F.coalesce(value, F.array(*[F.lit(x) for x in default])).alias(value))
+    return keys.join(t, F.col(key) == F.col("_k"), "left").select(*keys.columns, F.coalesce(value, F.array(*[F.lit(x) for x in default])).alias(value))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeworks.operators.history import CHUNK, numbered
+
 
 def sessions(events: DataFrame, keys: list[str], at: str, tie: str, gap_minutes: int) -> DataFrame:
     """``events`` with ``session`` (from 1 per key, a new one after a pause) and ``attempt`` (its number in the session)."""
@@ -89,10 +91,23 @@ def health(stats: DataFrame) -> DataFrame:
     return stats.withColumn("warnings", F.array_join(w, ",")).withColumn("healthy", (F.col("success_rate") > 0.5) & (F.col("block_rate") < 0.1))
 
 
-def rolling(events: DataFrame, key: str, value: str, at: str, tie: str, samples: int) -> DataFrame:
-    """``events`` with the mean and count of the last ``samples`` values of its key, itself included."""
-    w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(-(samples - 1), 0)
-    return events.withColumn("rolling_mean", F.avg(value).over(w)).withColumn("rolling_n", F.count(value).over(w))
+def rolling(events: DataFrame, key: str, value: str, at: str, tie: str, samples: int, chunk: int = CHUNK) -> DataFrame:
+    """``events`` with the mean and count of the last ``samples`` values of its key, itself included.
+
+    Where a key has more than ``chunk`` rows, rows are numbered without bringing a key together and cut into blocks of
+    ``chunk``; the last rows of each block go along with the next one too, so that its first rows see all their samples.
+    """
+    chunk = max(chunk, samples)
+    if events.groupBy(key).count().filter(F.col("count") > chunk).isEmpty():
+        w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(-(samples - 1), 0)
+        return events.withColumn("rolling_mean", F.avg(value).over(w)).withColumn("rolling_n", F.count(value).over(w))
+    n = numbered(events, [key], at, [tie], "_n", chunk)
+    own = F.floor((F.col("_n") - 1) / chunk)
+    blocks = F.when(F.pmod(F.col("_n") - 1, F.lit(chunk)) >= chunk - samples + 1, F.array(own, own + 1)).otherwise(F.array(own))
+    each = n.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(-(samples - 1), 0)
+    out = each.withColumn("rolling_mean", F.avg(value).over(w)).withColumn("rolling_n", F.count(value).over(w))
+    return out.filter("_own = _block").drop("_n", "_own", "_block")
 
 
 def call_snapshot(calls: DataFrame, key: str, value: str, result: str, failed: str, at: str, tie: str, samples: int = 1000) -> DataFrame:

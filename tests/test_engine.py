@@ -224,3 +224,11 @@ def test_units_taken_from_texts_agree_with_the_parser(spark):
     have = given.select(F.col("file_path").alias("_f")).distinct()
     mine = extract.units(spark.read.parquet("/root/testdata/sf0.01/file_contents.parquet")).join(have, F.col("file_path") == F.col("_f"), "left_semi").select(*given.columns)
     assert mine.exceptAll(given).count() == 0 and given.exceptAll(mine).count() == 0
+
+
+def test_rolling_means_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("aaab"), rng.randrange(60), i, rng.random() if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at int, i int, v double")
+    whole, cut_up = ({r.i: (r.rolling_mean and round(r.rolling_mean, 9), r.rolling_n) for r in O.rolling(df, "k", "v", "at", "i", 7, c).collect()} for c in (10_000, 20))
+    assert whole == cut_up and len(whole) == 400
