@@ -111,13 +111,15 @@ def agreed(match: np.ndarray, least: int = MIN_WORDS) -> int:
     miss = np.concatenate([[0], np.cumsum(~match)])
     if miss[n] * 10 <= n:
         return n
+    starts = np.flatnonzero(match)
+    if n < least or len(starts) * 10 < 9 * least:
+        return 0
     g = 10 * miss - np.arange(n + 1)
-    starts, ends = np.flatnonzero(match), np.flatnonzero(match) + 1
-    best = 0
-    for i in starts:
-        ok = ends[(ends - i >= least) & (g[ends] <= g[i])]
-        if len(ok):
-            best = max(best, int(ok[-1] - i))
+    ends, best = starts + 1, 0
+    for at in range(0, len(starts), 512):  # a block of beginnings against all ends
+        some = starts[at : at + 512, None]
+        long = ends - some
+        best = max(best, int(np.where((long >= least) & (g[ends] <= g[some]), long, 0).max(initial=0)))
     return best
 
 
