@@ -177,7 +177,7 @@ def limiter_stats(spark, sf_dir):
     return O.two_level_bucket(e, "limiter", "tool", "ts", (50.0, 0.02), (20.0, 0.004), {"purchase": 5, "signup": 2})
 
 
-@query()
+@query("SELECT * FROM (VALUES ('cache.ttl', '60', 'environment'), ('limits.search', '25', 'file'), ('security.enforce', 'True', 'default')) t(name, value, source)")
 def settings_effective(spark, sf_dir):
     """Settings from defaults, a file and the environment, with where each came from; guarded ones stay."""
     merged = settings.merged({"cache.ttl": 300, "limits.search": 10, "security.enforce": True}, {"limits": {"search": 25}}, {"LODE_CACHE_TTL": "60", "LODE_SECURITY_ENFORCE": "false"}, "LODE_", ("security.enforce",))
