@@ -26,7 +26,7 @@ from lodeworks.tables import spread
 
 CATEGORIES = ("insult", "threat", "hate", "sexual")
 #: Labelled documents the models are fitted on, at most.
-SAMPLE = 4_000
+SAMPLE = 8_000
 DIMENSIONS = 1 << 18
 #: The first columns are those of lexicon hits; they weigh more than words and pieces of words.
 MARKS, MARK_WEIGHT = 1 << 10, 2.5
@@ -36,6 +36,9 @@ _LEET = str.maketrans("0134578@$!€|", "oieastbasiel")
 _HIDDEN = re.compile("[­​-‏⁠﻿‪-‮]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
 _STARRED = re.compile(r"(?<=[^\W\d_])[*#%~^·_]+(?=[^\W\d_])")
+_STARS, _LETTERLIKE = re.compile("[*#%~^·_]"), re.compile("[0134578@$!€|]")
+#: Two letters that stand alone one after the other; spaced words hold such.
+_APART = re.compile(r"[ ._\-*·][^\W\d_][ ._\-*·]|^[^\W\d_][ ._\-*·]")
 _MIXED = re.compile(r"(?<![\w@$!|€])(?=[\w@$!|€]*[^\W\d_])(?=[\w@$!|€]*[\d@$!|€])[\w@$!|€]+(?![\w@$|€])")
 _LONG = re.compile(r"([^\W\d_])\1+")
 #: Abusive vocabulary in four languages, in plain letters; stems end in an asterisk. Fixed values, a prior for few labels:
@@ -129,11 +132,13 @@ def plain(sentence: str) -> str:
     if not s.isascii():
         s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s)).translate(_LOOKALIKE)
         s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
-    s = _SPACED.sub(_close_up, s)
+    if _APART.search(s):
+        s = _SPACED.sub(_close_up, s)
     if "*" in s or "#" in s or "~" in s or "^" in s or "%" in s:
         s = _PATTERN.sub(_unstar, s)
-    s = _STARRED.sub("", s)
-    if any(c in "0134578@$!€|" for c in s):
+    if _STARS.search(s):
+        s = _STARRED.sub("", s)
+    if _LETTERLIKE.search(s):
         s = _MIXED.sub(lambda m: m[0].translate(_LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) else m[0], s)
     return _LONG.sub(r"\1", s.lower())
 
@@ -178,12 +183,21 @@ def features(sentence: str) -> list[int]:
 
 
 class Rows:
-    """Sparse binary rows, scaled by the root of their length; short sentences are not scaled up."""
+    """Sparse binary rows, scaled by the root of their length; short sentences are not scaled up. Pickled without what follows."""
 
     def __init__(self, lists: list[list[int]]):
-        self.size = np.array([len(x) for x in lists], np.int64)
-        self.index = np.fromiter((i for x in lists for i in x), np.int64, int(self.size.sum()))
-        self.row = np.repeat(np.arange(len(lists)), self.size)
+        size = np.array([len(x) for x in lists], np.int64)
+        self._set(size, np.fromiter((i for x in lists for i in x), np.int64, int(size.sum())))
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.size.astype(np.int32), self.index.astype(np.int32)
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self._set(*(x.astype(np.int64) for x in state))
+
+    def _set(self, size: np.ndarray, index: np.ndarray) -> None:
+        self.size, self.index = size, index
+        self.row = np.repeat(np.arange(len(size)), size)
         self.value = np.repeat(1 / np.sqrt(np.maximum(self.size, 30)), self.size).astype(np.float32)
         self.value[self.index < MARKS] *= MARK_WEIGHT
         self.start = np.concatenate([[0], np.cumsum(self.size)])
