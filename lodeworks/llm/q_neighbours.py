@@ -76,4 +76,5 @@ WITH v AS (SELECT DISTINCT path, qwen3_version AS ver, qwen3_vector::DOUBLE[] AS
 """
 ORACLES = {
     "p2_found": _DENSE + "SELECT a.path AS path_a, b.path AS path_b FROM v a JOIN v b ON a.ver = b.ver AND a.path < b.path WHERE list_cosine_similarity(a.x, b.x) >= 0.95",
+    "p2_copies": _DENSE + ", c AS (SELECT ver, x, min(path) AS rep FROM v GROUP BY ver, x HAVING count(*) > 1) SELECT v.path AS key, c.rep FROM v JOIN c ON c.ver = v.ver AND c.x = v.x",
 }
