@@ -222,10 +222,28 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("unknown"))
 
 
+#: Texts, in lower case, of which a line holds one wherever the pattern of that name hits; the pattern is tried nowhere else.
+SECRET_HINTS = {
+    "cloud-access-key": ("akia",), "vcs-token": ("ghp_", "gho_"), "payment-key": ("sk_live_",), "signed-token": ("eyj",), "private-key": ("private key",),
+    "vcs-fine-token": ("github_pat_",), "vcs-app-token": ("ghu_", "ghs_", "ghr_"), "forge-token": ("glpat-",), "cloud-session-key": ("asia",), "cloud-secret-assignment": ("aws",),
+    "maps-key": ("aiza",), "oauth-client": ("gocspx-",), "account-key": ("accountkey=",), "chat-token": ("xox",), "chat-hook": ("hooks.slack.com",), "mail-key": ("sg.",),
+    "mail-service-key": ("key-",), "payment-restricted-key": ("rk_live_",), "payment-test-key": ("sk_test_",), "payment-access-token": ("sq0",), "shop-token": ("shpat_", "shpca_", "shppa_", "shpss_"),
+    "phone-service-key": ("sk",), "package-token": ("npm_",), "index-token": ("pypi-",), "image-token": ("dckr_pat_",), "host-token": ("_v1_",), "vault-token": ("hvs.",),
+    "model-hub-token": ("hf_",), "metrics-key": ("nrak-",), "lakehouse-token": ("dapi",), "putty-key": ("putty-user-key",), "file-key": ("age-secret-key-",), "bearer-header": ("bearer",), "basic-header": ("basic",),
+    "key-assignment": ("key",), "database-uri": ("://",), "password-assignment": ("pass",),
+}
+
+
 def scan_lines(table: DataFrame, key: str, text: str, patterns: tuple, split: str = "\n") -> DataFrame:
     """(key, line_no, name, severity, n): matches per line and pattern, for patterns as (name, pattern, severity)."""
-    lines = table.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, split)).alias("i", "line"))
-    counts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"), F.regexp_count("line", F.lit(ascii_bounds(p))).cast("long").alias("n")) for n, p, s in patterns])
+    lines = table.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, split)).alias("i", "line")).withColumn("low", F.lower("line"))
+
+    def times(name: str, p: str) -> Column:
+        n = F.regexp_count("line", F.lit(ascii_bounds(p))).cast("long")
+        hints = SECRET_HINTS.get(name)
+        return F.when(reduce(Column.__or__, [F.contains("low", F.lit(h)) for h in hints]), n).otherwise(F.lit(0).cast("long")) if hints else n
+
+    counts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"), times(n, p).alias("n")) for n, p, s in patterns])
     hits = lines.select(key, (F.col("i") + 1).cast("long").alias("line_no"), F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c"))
     return hits.select(key, "line_no", "c.name", "c.severity", "c.n")
 
